@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 #: A random 64-bit value for each byte.
 BYTE = np.random.default_rng(20_24).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -24,6 +25,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows, so that what Python holds at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes; a longer text has a range of its own."""
     start = held = 0
