@@ -13,14 +13,15 @@ from docloom.llm.linededup import op9_line_dedup
 from docloom.llm.neardup import op7_near_dedup
 from docloom.llm.packing import op8_packing
 from docloom.llm.quality import OP2_SQL, op2_quality_rules
+from docloom.llm.sharding import op5_sharding
 from docloom.llm.suffixes import op10_suffix_dedup
 from docloom.llm.urls import op3_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_decontaminate, op2_quality_rules, op3_url_filter, op4_perspective_rotation, op6_language_id, op7_near_dedup,
-        op8_packing, op9_line_dedup, op10_suffix_dedup,
+        op1_decontaminate, op2_quality_rules, op3_url_filter, op4_perspective_rotation, op5_sharding, op6_language_id,
+        op7_near_dedup, op8_packing, op9_line_dedup, op10_suffix_dedup,
     )
     return {f.__name__: f for f in own}
 
