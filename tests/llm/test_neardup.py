@@ -5,7 +5,9 @@ import re
 import numpy as np
 import pytest
 
-from docloom.llm.hashing import shingle_sets
+from docloom.llm.hashing import mix, shingle_sets
+from docloom.llm import links as module
+from docloom.llm.components import connected_components
 from docloom.llm.links import links
 from docloom.llm.neardup import near_duplicates, op7_near_dedup
 from docloom.llm.registers import collision_rate, estimate, sketches
@@ -69,21 +71,25 @@ def test_empty_table(spark):
     assert near_duplicates(df).collect() == []
 
 
-def test_mixed_large_buckets_lose_no_link(spark):
-    """A bucket of many nodes whose hub is like none of them: the block step has to find the others' links."""
-    nodes = [(i, 10, bytes(512) if i else bytes([1]) * 512) for i in range(40)]
-    signatures = spark.createDataFrame(nodes, "id long, size long, sig binary")
-    keyed = signatures.selectExpr("id", "7L as key")
-    real = links(keyed, signatures, lambda pairs: pairs.where("a % 2 = b % 2 and a > 0"), 0.8, 256)
-    assert {(r.a % 2, r.b % 2) for r in real.collect()} == {(0, 0), (1, 1)}
-    assert {x for r in real.collect() for x in r} == set(range(1, 40))
+def test_components_that_the_hub_misses(spark, monkeypatch):
+    """One bucket, whose hub is like all others but linked with none: the blocks have to find the others' links."""
+    monkeypatch.setattr(module, "BLOCK", 7)
+    words = [f"w{i}" for i in range(1000)]
+    texts = {i: " ".join(words[100 * (i % 4) : 100 * (i % 4) + 300] + [f"x{i}"]) for i in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    keyed = rows.selectExpr("id", "64L as key")
+    measure = lambda pairs: pairs.selectExpr("a", "b", "cast(0.5 as double) as likeness")
+    sets = lambda ts: shingle_sets([t.encode() for t in ts], 1)
+    edges, _ = links(keyed, measure, lambda ids: rows.join(ids, "id", "left_semi"), sets, 0.8)
+    found = {r.id: r.component for r in connected_components(edges).collect()}
+    assert found == {i: i % 4 for i in range(60)}
 
 
 @pytest.mark.parametrize("n", [30, 300, 3000])
 def test_estimate_is_close(n):
     a = np.arange(n, dtype=np.uint64)
     b = a + np.uint64(n // 9)
-    regs = sketches([a, b], 256)
+    regs = sketches([mix(a), mix(b)], 256)
     true = (n - n // 9) / (n + n // 9)
     assert abs(estimate(np.array([(regs[0] == regs[1]).mean()]), np.array([n]), np.array([n]), 256)[0] - true) < 0.25
     assert 0 < collision_rate(n, n, 256) < 0.01
