@@ -44,3 +44,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def compacted(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A checkpoint of df read in partitions of about `rows` rows, so that small tables do not leave hundreds of small files."""
+    df = checkpointed(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
