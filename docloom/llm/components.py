@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.session import checkpointed
 
+#: Links in a partition; the number of partitions follows the number of links.
+ROWS = 200_000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id of edges(a, b): component is the least id that can be reached.
@@ -23,19 +26,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     both = checkpointed(both)
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
+    parts = max(1, -(-both.count() // ROWS))
+    both = both.coalesce(parts)
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"))
+    labels = checkpointed(labels.coalesce(parts))
     for _ in range(max_rounds):
-        heard = (
-            both.join(labels.withColumnRenamed("id", "a"), "a")
-            .groupBy(F.col("b").alias("id"))
-            .agg(F.min("component").alias("heard"))
-        )
+        heard = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, "id").select("id", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
         root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
         jumped = nearer.join(root, "component", "left").select(
             "id", F.least("component", F.coalesce("root", "component")).alias("component"), "old"
         )
-        jumped = checkpointed(jumped)
+        jumped = checkpointed(jumped.coalesce(parts))
         changed = jumped.where("component <> old").limit(1).count()
         labels = jumped.select("id", "component")
         if not changed:

@@ -25,6 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def stir(x: np.ndarray) -> np.ndarray:
+    """A cheaper bijection, for sums of polynomials, whose upper bits are good already."""
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows` rows, so that what Python holds at a time stays small."""
     for batch in batches:
@@ -44,16 +50,23 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int = CHUNK + (CHUNK >> 3)) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n of BASE and of its inverse, for a task to compute once."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 2**64)):
+        powers = np.ones(n + 1, dtype=np.uint64)
+        np.cumprod(np.full(n, base, dtype=np.uint64), out=powers[1:])
+        out.append(powers)
+    return out[0], out[1]
+
+
+def prefix_sums(values: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """What range_hashes needs: running sums of a polynomial in BASE, and the inverse powers that align them."""
     n = len(values)
-    powers = np.ones(n + 1, dtype=np.uint64)
-    np.cumprod(np.full(n, BASE, dtype=np.uint64), out=powers[1:])
-    inverse = np.ones(n + 1, dtype=np.uint64)
-    np.cumprod(np.full(n, pow(BASE, -1, 2**64), dtype=np.uint64), out=inverse[1:])
+    powers, inverse = tables if tables is not None and len(tables[0]) > n else power_tables(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * powers[:-1], out=sums[1:])
-    return sums, inverse
+    np.cumsum(values * powers[:n], out=sums[1:])
+    return sums, inverse[: n + 1]
 
 
 def range_hashes(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -61,7 +74,7 @@ def range_hashes(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, stop
     return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
 
 
-def words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], is_word: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word, and how many words each text has. `is_word` says which bytes make words."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     edge = np.zeros(len(buf) + 1, dtype=bool)
@@ -72,7 +85,7 @@ def words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, stops = edges[::2], edges[1::2]
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     upto = np.searchsorted(starts, ends)
-    return range_hashes(*prefix_sums(BYTE[buf]), starts, stops), np.diff(upto, prepend=0)
+    return range_hashes(*prefix_sums(BYTE[buf], tables), starts, stops), np.diff(upto, prepend=0)
 
 
 def shingle_sets(texts: list[bytes], size: int, is_word: np.ndarray = NOT_SPACE) -> list[np.ndarray]:
@@ -81,8 +94,9 @@ def shingle_sets(texts: list[bytes], size: int, is_word: np.ndarray = NOT_SPACE)
     A text of fewer words, but not none, has one shingle: all of them. A text of no words has none.
     """
     out: list[np.ndarray] = []
+    tables = power_tables() if sum(map(len, texts)) > CHUNK else None
     for a, b in chunks(texts):
-        h, counts = words(texts[a:b], is_word)
+        h, counts = words(texts[a:b], is_word, tables)
         grams = h.copy()
         for k in range(1, size):
             grams[: len(h) - k] = mix(grams[: len(h) - k] * np.uint64(BASE) + h[k:])

@@ -2,82 +2,224 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components
-from docloom.llm.registers import estimate, least_estimate
-from docloom.session import checkpointed
+from docloom.llm.hashing import overlap, slices
+from docloom.llm.registers import estimate, least_estimate, sketches
+from docloom.session import checkpointed, compacted
 
-#: Up to so many members a bucket's pairs are formed directly; a fixed work for each row, whatever the input.
-SMALL = 16
+#: Texts of this likeness or more belong to one cluster.
+LOOSE = 0.6
 BLOCK = 256
+REGISTERS = 256
+#: Of a bucket's size only so much is told.
+SMALL = 16
+LONG_RUN = 1 << 16
 
 
 def bounded_broadcast(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df, a few 64-bit columns wide, marked for broadcast if a count shows at most `most` rows (about 16 MB a column)."""
-    df = checkpointed(df)
+    df = compacted(df)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (key, id): a row (key, id, n) for each different id of a key that has n > 1 of them, n
+    being SMALL + 1 at most, and a row with n = 0 for each id that comes again under a key of the first band.
+
+    What is held back for the next batch is the last key's ids, and of a long run only SMALL + 1 of them.
+    """
+    held = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+    long_run: int | None = None
+
+    def told(key: np.ndarray, ids: np.ndarray, run_on: int | None) -> pa.RecordBatch:
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = key[1:] != key[:-1]
+        again = np.zeros(len(key), dtype=bool)
+        again[1:] = (ids[1:] == ids[:-1]) & ~first[1:]
+        twice = again & (key & 63 == 0)
+        more_key, more_id = key[twice], ids[twice]
+        key, ids, first = key[~again], ids[~again], first[~again]
+        run = np.cumsum(first) - 1
+        n = np.minimum(np.bincount(run, minlength=1), SMALL + 1)[run] if len(run) else run
+        if run_on is not None:
+            n = np.where(key == run_on, SMALL + 1, n)
+        keep = n > 1
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate((key[keep], more_key))),
+                pa.array(np.concatenate((ids[keep], more_id))),
+                pa.array(np.concatenate((n[keep], np.zeros(len(more_id), dtype=np.int64))).astype(np.int32)),
+            ],
+            names=["key", "id", "n"],
+        )
+
+    for batch in batches:
+        key = np.concatenate((held[0], np.asarray(batch.column("key"))))
+        ids = np.concatenate((held[1], np.asarray(batch.column("id"))))
+        if not len(key):
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield told(key[:cut], ids[:cut], long_run)
+            long_run = None
+        key, ids = key[cut:], ids[cut:]
+        if len(key) > LONG_RUN and ids[0] != ids[-1]:
+            # Surely a large bucket: its ids may go out as they come. The last one stays, to see whether it comes again.
+            if long_run is not None or len(np.unique(ids)) > SMALL + 1:
+                long_run = int(key[0])
+                last = int(np.searchsorted(ids, ids[-1]))
+                yield told(key[:last], ids[:last], long_run)
+                key, ids = key[last:], ids[last:]
+        held = (key, ids)
+    if len(held[0]):
+        yield told(*held, long_run)
+
+
 def links(
     keyed: DataFrame,
-    signatures: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
+    texts: Callable[[DataFrame, DataFrame], DataFrame],
+    sets: Callable[[list[str]], list[np.ndarray]],
     threshold: float,
-    registers: int,
-) -> DataFrame:
-    """Verified links edges(a, b), such that their components are those of all links that share a band.
+    guess: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Links edges(a, b) whose components are those of all links among texts that share a band; and the ids (id) that
+    keyed holds more than once.
 
-    keyed: (key, id), a row for each band of each node. signatures: (id, size, sig), sig being little-endian 16-bit
-    registers. verify: from pairs (a, b) to those that are links.
+    keyed: (key, id), a row for each band of each node. texts: from ids (id), and those
+    that came more than once, to (id, text) of the first. sets: from texts to their
+    sets of hashes, sorted. guess: from pairs (a, b) to (a, b, guess, likely), an estimate of the likeness, and whether
+    it may reach the threshold; without it every pair is compared exactly.
 
-    A bucket of up to SMALL nodes gives all its pairs. A larger one gives each node's pair with the least id only.
-    Where its nodes then still lie in more than one component, the nodes of different components are compared block
-    against block by their signatures: no task gets more than two blocks of about BLOCK nodes, and no link between
-    components is lost; within a component no further link could change the result.
+    A bucket gives each of its nodes' pair with one of them, its hub: as many pairs as rows, however large it is. What
+    comes out alike (LOOSE or more) forms clusters, what is linked forms components. Where a cluster of three nodes or
+    more still has several components, each node outside the largest is compared with all nodes of the cluster, block
+    against block: no task gets more than two blocks of BLOCK texts, and only links that join components come out.
+    Links within a component could not change the result. Two linked nodes of which one is linked with a hub that both
+    share lie in one cluster, as distances add up; so do others unless the hub of every band that they share is unlike them.
     """
-    dealt = keyed.select("key", "id").repartition("key").groupBy("key", "id").agg(F.lit(1).alias("one"))
-    counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    members = checkpointed(dealt.join(counts, "key").select("key", "id", "n", "hub"))
-    small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
-
-    def partners(x: Column, i: Column) -> Column:
-        return F.transform(F.expr("slice(m, 2, size(m))"), lambda y: F.struct(x.alias("a"), y.alias("b")))
-
-    small = small.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.a", "p.b").where("a < b")
-    large = members.where(F.col("n") > SMALL)
-    stars = large.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    edges = checkpointed(verify(small.union(stars).distinct()))
-    if not large.limit(1).count():
-        return edges
-    found = connected_components(edges)
-    tagged = large.where("id <> hub").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    left = tagged.join(mixed, "key").select("key", "id", "label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    left = left.withColumn("own", F.expr("pmod(xxhash64(id), blocks)").cast("int"))
-    left = left.join(signatures, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    left = left.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "size", "sig")
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(block.sig), dtype="<u2").reshape(len(block), -1)
-        ids, label, size, own = (block[c].to_numpy() for c in ("id", "label", "size", "own"))
-        first = np.flatnonzero(own == block.x.iloc[0])
-        second = np.flatnonzero(own == block.y.iloc[0])
-        out_a, out_b = [], []
-        for i in first:
-            js = second[(label[second] != label[i]) & (ids[second] != ids[i])]
-            if not len(js):
-                continue
-            share = (sig[js] == sig[i]).mean(axis=1)
-            near = estimate(share, np.full(len(js), size[i]), size[js], registers) >= least_estimate(threshold, np.minimum(size[js], size[i]), registers)
-            out_a.append(np.minimum(ids[i], ids[js][near]))
-            out_b.append(np.maximum(ids[i], ids[js][near]))
-        return pd.DataFrame({"a": np.concatenate(out_a or [[]]).astype("int64"), "b": np.concatenate(out_b or [[]]).astype("int64")})
-
-    more = left.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
-    return edges.union(checkpointed(verify(more)))
+    dealt = keyed.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
+    met = compacted(dealt.mapInArrow(_buckets, "key long, id long, n int"))
+    again = met.where("n = 0").select("id").distinct()
+    members = met.where("n > 0").select("key", "id")
+    hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
+    stars = members.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    if guess:
+        told = compacted(guess(stars).where(F.col("guess") >= LOOSE))
+    else:
+        told = compacted(stars).withColumns({"guess": F.lit(0.0), "likely": F.lit(True)})
+    held = compacted(texts(told.select(F.explode(F.array("a", "b")).alias("id")).distinct(), again), 20_000)
+
+    def likeness(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            for at in range(0, len(batch), 1_000):
+                p = batch.iloc[at : at + 1_000]
+                own = list(dict.fromkeys([*p.text_a, *p.text_b]))
+                of = dict(zip(own, sets(own), strict=True))
+                out = []
+                for s, t in zip(p.text_a, p.text_b, strict=True):
+                    common = overlap(of[s], of[t])
+                    union = len(of[s]) + len(of[t]) - common
+                    out.append(1.0 if common >= threshold * union - 1e-9 else min(common / union, threshold - 1e-6))
+                yield p[["a", "b"]].assign(likeness=out)
+
+    both = told.where("likely").select("a", "b").join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
+    measured = both.mapInPandas(likeness, "a long, b long, likeness double")
+    measured = measured.unionByName(told.where("not likely").select("a", "b", F.least("guess", F.lit(threshold - 1e-6)).alias("likeness")))
+    measured = compacted(measured.where(F.col("likeness") >= LOOSE))
+    edges = measured.where(F.col("likeness") >= threshold).select("a", "b")
+    found = connected_components(edges).withColumnRenamed("component", "label")
+    clusters = connected_components(measured).withColumnRenamed("component", "cluster")
+    tagged = clusters.join(found, "id", "left").select("cluster", "id", F.coalesce("label", "id").alias("label"))
+    sizes = tagged.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.sum("n").alias("nodes"), F.max("n").alias("most"))
+    mixed = largest.where("nodes > 2 and most < nodes")
+    mixed = mixed.withColumns({"minors": F.ceil((F.col("nodes") - F.col("most")) / BLOCK).cast("int"), "majors": F.ceil(F.col("most") / BLOCK).cast("int")})
+    left = compacted(tagged.join(mixed.select("cluster", "major", "minors", "majors"), "cluster"))
+    if not left.limit(1).count():
+        return edges, again
+    # Blocks of other nodes are numbered from 0, those of the largest component from -1 downwards.
+    small = F.expr("pmod(xxhash64(id), minors)").cast("int")
+    own = F.when(F.col("label") == F.col("major"), -1 - F.expr("pmod(xxhash64(id), majors)").cast("int")).otherwise(small)
+    left = left.withColumn("own", own)
+    meets = F.when(F.col("own") < 0, F.expr("transform(sequence(0, minors - 1), m -> struct(m as x, own as y))")).otherwise(
+        F.concat(
+            F.expr("transform(sequence(0, minors - 1), m -> struct(least(m, own) as x, greatest(m, own) as y))"),
+            F.expr("transform(sequence(1, majors), m -> struct(own as x, -m as y))"),
+        )
+    )
+    left = left.join(held, "id").select("cluster", "id", "label", "own", "text", F.inline(meets))
+    left = left.select(F.xxhash64("cluster", "x", "y").alias("meeting"), "id", "label", "x", "y", "own", "text")
+    left = left.repartition("meeting").sortWithinPartitions("meeting", "own", "id")
+    more = left.mapInArrow(lambda it: _meetings(it, sets, threshold), "a long, b long")
+    return edges.union(compacted(more)), again
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], sets: Callable[[list[str]], list[np.ndarray]], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between components, for rows in order of their meeting, a pair of blocks. The last meeting waits for the next batch."""
+    held: list[tuple] = []
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        out: list[tuple[int, int]] = []
+        at = 0
+        while at < len(rows):
+            to = at + 1
+            while to < len(rows) and rows[to][0] == rows[at][0]:
+                to += 1
+            out += _compare(rows[at:to], sets, threshold)
+            at = to
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    for batch in slices(batches):
+        held += zip(*[batch.column(c).to_pylist() for c in ("meeting", "id", "label", "x", "y", "own", "text")], strict=True)
+        cut = len(held)
+        while cut and held[cut - 1][0] == held[-1][0]:
+            cut -= 1
+        if cut:
+            yield solve(held[:cut])
+            held = held[cut:]
+    if held:
+        yield solve(held)
+
+
+def _compare(rows: list[tuple], sets: Callable[[list[str]], list[np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links (id, id) between two blocks, as many as join their components: likely pairs are compared exactly, in order of the estimate."""
+    _, ids, label, x, y, own, text = zip(*rows, strict=True)
+    members = sets(list(text))
+    size = np.array([len(s) for s in members])
+    label, own = np.array(label), np.array(own)
+    first, second = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
+    sig = sketches(members, REGISTERS) if len(first) * len(second) > 64 else None
+    pairs: list[tuple[float, int, int]] = []
+    for i in first.tolist():
+        js = second[label[second] != label[i]]
+        js = js[np.minimum(size[js], size[i]) >= threshold * np.maximum(size[js], size[i]) - 1e-9]
+        if sig is None:
+            pairs += [(0.0, i, j) for j in js.tolist()]
+        elif len(js):
+            guess = estimate((sig[js] == sig[i]).mean(axis=1), np.full(len(js), size[i]), size[js], REGISTERS)
+            near = guess >= least_estimate(threshold, np.minimum(size[js], size[i]), REGISTERS)
+            pairs += zip(guess[near].tolist(), [i] * int(near.sum()), js[near].tolist(), strict=True)
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.get(v, v) != v:
+            v = root[v]
+        return v
+
+    out = []
+    for _, i, j in sorted(pairs, reverse=True):
+        p, q = find(int(label[i])), find(int(label[j]))
+        if p != q:
+            common = overlap(members[i], members[j])
+            if common >= threshold * (size[i] + size[j] - common) - 1e-9:
+                root[max(p, q)] = min(p, q)
+                out.append((ids[i], ids[j]))
+    return out

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components
-from docloom.llm.hashing import overlap, set_key, shingle_sets
+from docloom.llm.hashing import set_key, shingle_sets, slices
 from docloom.llm.links import bounded_broadcast, links
 from docloom.llm.registers import bands, estimate, least_estimate, sketches
-from docloom.session import checkpointed, table
+from docloom.session import checkpointed, compacted, table
 
 REGISTERS, BANDS, WIDTH = 256, 42, 6
 
@@ -25,7 +25,7 @@ def _encoded(texts: pa.Array | pd.Series) -> list[bytes]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = shingle_sets(_encoded(batch.column("text").to_pylist()), words)
         regs = sketches(sets, REGISTERS)
         keys = bands(regs, BANDS, WIDTH)
@@ -72,53 +72,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
         )
         .withColumn("id", F.monotonically_increasing_id())
     )
-    nodes = checkpointed(nodes)
+    nodes = compacted(nodes, 20_000)
     signatures = nodes.select("id", "size", "sig")
+    sets = lambda ts: shingle_sets(_encoded(ts), words)
 
-    def near(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def guessed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
             if not len(p):
                 continue
             x = np.frombuffer(b"".join(p.sig_a), dtype="<u2").reshape(len(p), -1)
             y = np.frombuffer(b"".join(p.sig_b), dtype="<u2").reshape(len(p), -1)
             a, b = p.size_a.to_numpy(), p.size_b.to_numpy()
-            likely = estimate((x == y).mean(axis=1), a, b, REGISTERS) >= least_estimate(threshold, np.minimum(a, b), REGISTERS)
-            yield p.loc[likely, ["a", "b"]]
-
-    def confirmed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            texts = list(dict.fromkeys([*p.text_a, *p.text_b]))
-            sets = dict(zip(texts, shingle_sets(_encoded(texts), words), strict=True))
-            keep = []
-            for s, t in zip(p.text_a, p.text_b, strict=True):
-                common = overlap(sets[s], sets[t])
-                keep.append(common >= threshold * (len(sets[s]) + len(sets[t]) - common) - 1e-9)
-            yield p.loc[keep, ["a", "b"]]
+            guess = estimate((x == y).mean(axis=1), a, b, REGISTERS)
+            likely = guess >= least_estimate(threshold, np.minimum(a, b), REGISTERS)
+            likely &= np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
+            yield p[["a", "b"]].assign(guess=guess, likely=likely)
 
     def own_set(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
-            keys = [set_key(s) for s in shingle_sets(_encoded(p.text), words)]
+            keys = [set_key(s) for s in sets(p.text.tolist())]
             yield p.loc[[bytes(k) == own for k, own in zip(p.set_key, keys, strict=True)], ["id", "text"]]
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = signatures.toDF("a", "size_a", "sig_a")
-        b = signatures.toDF("b", "size_b", "sig_b")
-        sized = pairs.join(a, "a").join(b, "b")
-        sized = sized.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)
-        likely = checkpointed(sized.mapInPandas(near, "a long, b long"))
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "least_id", "set_key"), "id")
-        wanted = checkpointed(wanted)
+    def texts(ids: DataFrame, again: DataFrame) -> DataFrame:
+        wanted = compacted(ids.join(nodes.select("id", "least_id", "set_key"), "id"))
         some = bounded_broadcast(wanted.select(F.col("least_id").alias("doc_id")).distinct())
-        texts = whole.join(some, "doc_id", "left_semi")
         # A null id can be the least only where all of a set's ids are null.
-        texts = texts.unionByName(whole.where("doc_id is null"))
-        texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("id", "set_key", "text")
-        texts = texts.mapInPandas(own_set, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
-        texts = checkpointed(texts)
-        both = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return both.mapInPandas(confirmed, "a long, b long")
-
-    edges = links(nodes.select("id", F.explode("bands").alias("key")), signatures, verify, threshold, REGISTERS)
+        found = whole.join(some, "doc_id", "left_semi").unionByName(whole.where("doc_id is null"))
+        found = found.join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("id", "set_key", "text")
+        return found.mapInPandas(own_set, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
+
+    def guess(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(signatures.toDF("a", "size_a", "sig_a"), "a").join(signatures.toDF("b", "size_b", "sig_b"), "b")
+        return sized.mapInPandas(guessed, "a long, b long, guess double, likely boolean")
+
+    edges, _ = links(nodes.select("id", F.explode("bands").alias("key")), texts, sets, threshold, guess)
     found = connected_components(edges)
     named = found.join(nodes.select("id", "least_id"), "id")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))

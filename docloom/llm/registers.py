@@ -24,11 +24,14 @@ def borrow_order(registers: int) -> np.ndarray:
 
 
 def least_values(values: np.ndarray, owner: np.ndarray, owners: int, registers: int) -> np.ndarray:
-    """A row for each owner with the least 56-bit hash in each bucket; empty buckets have 2**64 - 1."""
+    """A row for each owner with the least 56-bit hash in each bucket; empty buckets have 2**64 - 1.
+
+    values are well mixed 64-bit hashes: their upper half picks the bucket, a multiple of the whole is the value.
+    """
     least = np.full(owners * registers, 2**64 - 1, dtype=np.uint64)
     if len(values):
-        v = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-        np.minimum.at(least, owner * registers + (v % np.uint64(registers)).astype(np.int64), mix(v) >> np.uint64(8))
+        bucket = ((values >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(least, owner * registers + bucket, values * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(8))
     return least.reshape(owners, registers)
 
 
@@ -59,12 +62,12 @@ def sketches(sets: list[np.ndarray], registers: int) -> np.ndarray:
 
 
 def bands(regs: np.ndarray, number: int, width: int) -> np.ndarray:
-    """For each sketch `number` 64-bit keys, each made of `width` registers and the band's own number."""
+    """For each sketch `number` keys: 58 bits hashed from `width` registers, then the band's own number in 6 bits."""
     parts = regs[:, : number * width].reshape(len(regs), number, width).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, number + 1, dtype=np.uint64), (len(regs), number))
     for k in range(width):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
-    return key.astype(np.int64)
+    return (key & ~np.uint64(63) | np.arange(number, dtype=np.uint64)).astype(np.int64)
 
 
 def collision_rate(n_a: float, n_b: float, registers: int) -> float:

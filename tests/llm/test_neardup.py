@@ -78,9 +78,9 @@ def test_components_that_the_hub_misses(spark, monkeypatch):
     texts = {i: " ".join(words[100 * (i % 4) : 100 * (i % 4) + 300] + [f"x{i}"]) for i in range(60)}
     rows = spark.createDataFrame(list(texts.items()), "id long, text string")
     keyed = rows.selectExpr("id", "64L as key")
-    measure = lambda pairs: pairs.selectExpr("a", "b", "cast(0.5 as double) as likeness")
+    guess = lambda pairs: pairs.selectExpr("a", "b", "cast(0.7 as double) as guess", "false as likely")
     sets = lambda ts: shingle_sets([t.encode() for t in ts], 1)
-    edges, _ = links(keyed, measure, lambda ids: rows.join(ids, "id", "left_semi"), sets, 0.8)
+    edges, _ = links(keyed, lambda ids, again: rows.join(ids, "id", "left_semi"), sets, 0.8, guess)
     found = {r.id: r.component for r in connected_components(edges).collect()}
     assert found == {i: i % 4 for i in range(60)}
 
