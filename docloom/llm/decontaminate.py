@@ -10,14 +10,17 @@ from docloom.session import checkpointed, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Windows that are joined at a time: some 40 MB for broadcast. More windows are taken in further blocks.
 BLOCK = 200_000
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text, A-Z lower-cased; none for null. Splitting between words is the cheapest way to them."""
+    text = F.coalesce(text, F.lit(""))
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(folded, BETWEEN), "")
 
 
 def _token(words: str, at: Column, size: int) -> Column:
@@ -59,11 +62,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     tokens = found.select("wid", "len", F.split("win", " ").alias("w"))
     tokens = tokens.select("wid", "w", F.explode(F.expr(f"sequence(0, len - {size})")).alias("o"))
     tokens = checkpointed(tokens.select("wid", "o", _token("w", F.col("o"), size).alias("token")))
-    placed = source.where(f"n >= {size}").select("w", F.explode(F.expr(f"sequence(0, n - {size})")).alias("p"))
+    placed = source.select("w", F.explode(F.expr(f"if(n >= {size}, sequence(0, n - {size}), array())")).alias("p"))
     placed = placed.select(_token("w", F.col("p"), size).alias("token"))
     wanted = bounded_broadcast(tokens.select("token").distinct())
     counts = placed.join(wanted, "token", "left_semi").groupBy("token").count()
-    rarest = tokens.join(counts, "token").groupBy("wid").agg(F.min(F.struct("count", "o", "token")).alias("best"))
+    counted = tokens.join(counts, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    # A window with a token that the corpus does not hold cannot occur.
+    rarest = counted.groupBy("wid").agg(F.min(F.struct("count", "o", "token")).alias("best")).where("best.count > 0")
     prefix = rarest.join(found, "wid").select(F.col("best.token").alias("token"), F.col("best.o").alias("o"), "win", "len", "items")
     prefix = checkpointed(prefix)
 
