@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -99,22 +100,22 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def _one_of(words: list[str]) -> str:
+    return "|".join(re.sub(r"([^a-zA-Z0-9 ])", r"\\\1", w) for w in words)
+
+
 def contains_any(c: Column, keywords: tuple[str, ...]) -> Column:
     """Whether text holds a keyword as it is, or without punctuation, or with digits read as the letters they resemble.
 
-    The keyword lists are literals of the plan, compared by three `contains` over three forms of the text.
+    The keyword lists are literals of the plan: one pattern for each of three forms of the text.
     """
+    table = str.maketrans(*KEYWORD_LOOKALIKES)
+    plain = list(dict.fromkeys(k.lower() for k in keywords))
+    bare = [b for b in dict.fromkeys("".join(x for x in k if x.isascii() and x.isalnum()) for k in plain) if b]
     lower = F.lower(as_text(c))
     compact = F.regexp_replace(lower, "[^a-z0-9]", "")
     folded = F.translate(compact, *KEYWORD_LOOKALIKES)
-    table = str.maketrans(*KEYWORD_LOOKALIKES)
-    out = []
-    for keyword in dict.fromkeys(k.lower() for k in keywords):
-        bare = "".join(x for x in keyword if x.isascii() and x.isalnum())
-        out.append(lower.contains(keyword))
-        if bare:
-            out += [compact.contains(bare), folded.contains(bare.translate(table))]
-    return any_of(out)
+    return lower.rlike(_one_of(plain)) | compact.rlike(_one_of(bare)) | folded.rlike(_one_of([b.translate(table) for b in bare]))
 
 
 def keyword_hits(c: Column, keywords: tuple[str, ...]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ SCALES = {"thousand": 1_000, "lakh": 100_000, "lakhs": 100_000, "lac": 100_000,
 # --- End of fixed values. ---
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often it is used: the variable of a one-element transform."""
+    return F.transform(F.array(value), use)[0]
+
+
 # --- amounts -----------------------------------------------------------------------------------------------------------
 
 
@@ -50,14 +56,17 @@ def parse_amount(token: Column) -> Column:
 
     Without a point, a comma before exactly two last digits is the decimal sign; other commas group digits.
     """
-    t = F.regexp_replace(token, r"(?i)rs\.?|₹|INR| ", "")
-    t = F.trim(F.regexp_replace(t, r",\.(?=\d)", "."))
-    comma = t.contains(",") & ~t.contains(".") & t.rlike(r",.{2}$") & ~t.rlike(r",.{0,1}$")
-    last = F.substring_index(t, ",", -1)
-    whole = F.replace(F.substring(t, F.lit(1), F.length(t) - F.length(last) - 1), F.lit(","), F.lit(""))
-    plain = F.when(comma & (F.length(last) == 2), F.concat(whole, F.lit("."), last)).otherwise(F.replace(t, F.lit(","), F.lit("")))
-    value = F.when((plain != "") & (F.length(plain) <= 12), plain.try_cast("decimal(18,4)"))
-    return F.when(value <= MOST_AMOUNT, value)
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(token, r"(?i)rs\.?|₹|INR| ", ""), r",\.(?=\d)", "."))
+
+    def value(t: Column) -> Column:
+        last = F.substring_index(t, ",", -1)
+        whole = F.replace(F.substring(t, F.lit(1), F.length(t) - F.length(last) - 1), F.lit(","), F.lit(""))
+        decimal = t.contains(",") & ~t.contains(".") & (F.length(last) == 2)
+        return F.when(decimal, F.concat(whole, F.lit("."), last)).otherwise(F.replace(t, F.lit(","), F.lit("")))
+
+    plain = bound(cleaned, value)
+    number = bound(plain, lambda p: F.when((p != "") & (F.length(p) <= 12), p.try_cast("decimal(18,4)")))
+    return bound(number, lambda v: F.when(v <= MOST_AMOUNT, v))
 
 
 def format_amount(value: Column) -> Column:
@@ -75,16 +84,13 @@ def amounts(c: Column) -> Column:
     # The token with what follows it up to a percent sign, found by the same pattern.
     found = F.regexp_extract_all(amount_text(c), F.lit(AMOUNT + r"(\s*%)?"), F.lit(0))
 
-    def one(raw: Column) -> Column:
-        token = F.regexp_extract(raw, AMOUNT + r"(\s*%)?", 2)
-        return F.struct(
-            token.alias("token"),
-            parse_amount(token).alias("value"),
-            raw.endswith("%").alias("percent"),
-            (token.contains(",") | token.contains(".")).alias("currency"),
-        )
+    tokens = F.transform(found, lambda raw: F.struct(F.regexp_extract(raw, AMOUNT + r"(\s*%)?", 2).alias("token"), raw.endswith("%").alias("percent")))
+
+    def one(t: Column) -> Column:
+        token = t["token"]
+        return F.struct(token.alias("token"), parse_amount(token).alias("value"), t["percent"].alias("percent"), (token.contains(",") | token.contains(".")).alias("currency"))
 
-    kept = F.filter(F.transform(found, one), lambda a: a["value"] >= LEAST_AMOUNT)
+    kept = F.filter(F.transform(tokens, one), lambda a: a["value"] >= LEAST_AMOUNT)
     return F.when(~contains_any(text, BANK), kept).otherwise(F.filter(kept, lambda a: F.lit(False)))
 
 
