@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.session import table
 
-WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN = r"[\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\f\r"
 SYMBOL = "[^#*$%&|<>]"
 
@@ -46,7 +46,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     given = [c for c in docs.columns if c not in {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "failures"}]
     df = docs.select(
         *given,
-        F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)).alias("_w"),
+        F.array_remove(F.split(whole, BETWEEN), "").alias("_w"),
         F.length(F.translate(whole, SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(whole, SYMBOL, "")).cast("long").alias("n_symbols"),
         F.filter(F.split(whole, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0).alias("_lines"),
