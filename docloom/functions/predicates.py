@@ -106,6 +106,7 @@ def _one_of(words: list[str]) -> str:
 
 def contains_any(c: Column, keywords: tuple[str, ...]) -> Column:
     """Whether text holds a keyword as it is, or without punctuation, or with digits read as the letters they resemble.
+    Numbers by themselves are not read so: 1657 is no tax.
 
     The keyword lists are literals of the plan: one pattern for each of three forms of the text.
     """
@@ -114,7 +115,8 @@ def contains_any(c: Column, keywords: tuple[str, ...]) -> Column:
     bare = [b for b in dict.fromkeys("".join(x for x in k if x.isascii() and x.isalnum()) for k in plain) if b]
     lower = F.lower(as_text(c))
     compact = F.regexp_replace(lower, "[^a-z0-9]", "")
-    folded = F.translate(compact, *KEYWORD_LOOKALIKES)
+    words = F.regexp_replace(lower, r"\b[0-9][0-9.,]*\b", " ")
+    folded = F.translate(F.regexp_replace(words, "[^a-z0-9]", ""), *KEYWORD_LOOKALIKES)
     return lower.rlike(_one_of(plain)) | compact.rlike(_one_of(bare)) | folded.rlike(_one_of([b.translate(table) for b in bare]))
 
 

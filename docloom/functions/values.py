@@ -148,10 +148,13 @@ def words_of_amount(value: Column) -> Column:
 
 def normalize_id_date(c: Column) -> Column:
     """dd/MM/yyyy of the first day-first date, look-alike letters read as digits; else the text itself, trimmed."""
-    text = digit_lookalikes(c)
-    part = lambda k: F.regexp_extract(text, ID_DATE, k)
-    made = F.concat_ws("/", F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0"), part(3))
-    return F.when(text.rlike(ID_DATE), made).otherwise(F.trim(text))
+
+    def made(text: Column) -> Column:
+        part = lambda k: F.regexp_extract(text, ID_DATE, k)
+        day = F.concat_ws("/", F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0"), part(3))
+        return F.when(text.rlike(ID_DATE), day).otherwise(F.trim(text))
+
+    return bound(digit_lookalikes(c), made)
 
 
 def id_dates(c: Column) -> Column:
@@ -180,12 +183,9 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 def _month(name: Column, full: bool) -> Column:
     """The number of a month's English name, of three letters or, if full, whole."""
-    names = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-    out = F.lit(None).cast("string")
-    for k, (short, whole) in enumerate(zip(MONTHS, names, strict=True), 1):
-        hit = F.lower(name) == short
-        out = F.when(hit | (F.lower(name) == whole) if full else hit, f"{k:02d}").otherwise(out)
-    return out
+    names = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+    number = {m: f"{k:02d}" for k, m in enumerate(MONTHS, 1)} | ({m: f"{k:02d}" for k, m in enumerate(names, 1)} if full else {})
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in number.items() for x in pair]), F.lower(name))
 
 
 def invoice_date_candidates(c: Column) -> Column:
@@ -195,15 +195,19 @@ def invoice_date_candidates(c: Column) -> Column:
 
 def parse_invoice_date(c: Column) -> Column:
     """The day that a text names, day first or ISO, strictly; else null. Two-digit years only after points or month names."""
-    part = lambda p, k: F.regexp_extract(c, p, k)
     slash, dash, point = r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", r"^(\d{1,2})\.(\d{1,2})\.(\d{2}|\d{4})$"
     named, named_point, iso = r"^(\d{1,2})-([A-Za-z]{3})-(\d{2}|\d{4})$", r"^(\d{1,2})\.([A-Za-z]{3})\.(\d{4})$", r"^(\d{4})-(\d{2})-(\d{2})$"
-    out = F.lit(None).cast("date")
-    for p in (slash, dash, point):
-        out = F.when(c.rlike(p), _date(part(p, 3), part(p, 2), part(p, 1))).otherwise(out)
-    for p in (named, named_point):
-        out = F.when(c.rlike(p), _date(part(p, 3), _month(part(p, 2), False), part(p, 1))).otherwise(out)
-    return F.when(c.rlike(iso), _date(part(iso, 1), part(iso, 2), part(iso, 3))).otherwise(out)
+
+    def day(t: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(t, p, k)
+        out = F.lit(None).cast("date")
+        for p in (slash, dash, point):
+            out = F.when(t.rlike(p), _date(part(p, 3), part(p, 2), part(p, 1))).otherwise(out)
+        for p in (named, named_point):
+            out = F.when(t.rlike(p), _date(part(p, 3), _month(part(p, 2), False), part(p, 1))).otherwise(out)
+        return F.when(t.rlike(iso), _date(part(iso, 1), part(iso, 2), part(iso, 3))).otherwise(out)
+
+    return bound(c, day)
 
 
 def is_invoice_date(c: Column, as_of: Column) -> Column:
@@ -224,13 +228,17 @@ def repair_future_date(c: Column, as_of: Column) -> Column:
 
 def parse_medical_date(c: Column) -> Column:
     """The day that a certificate's date names: digits or English months, look-alikes repaired; else null."""
-    text = normalize_line(F.replace(c, F.lit(","), F.lit(" ")))
-    digits = text.rlike(r"[./-]") & ~text.rlike(r"(?i)\b[A-Z]{3,}\b")
-    text = F.when(digits, F.translate(text, "OoQDIl|", "0000111")).otherwise(text)
     numeric, named = r"^(\d{1,2})([./-])(\d{1,2})\2(\d{2}|\d{4})$", r"^(\d{1,2})[- ]([A-Za-z]{3,9})[- ](\d{2}|\d{4})$"
-    part = lambda p, k: F.regexp_extract(text, p, k)
-    by_name = _date(part(named, 3), _month(part(named, 2), True), part(named, 1))
-    return F.when(text.rlike(numeric), _date(part(numeric, 4), part(numeric, 3), part(numeric, 1))).when(text.rlike(named), by_name)
+
+    def digits(t: Column) -> Column:
+        return F.when(t.rlike(r"[./-]") & ~t.rlike(r"(?i)\b[A-Z]{3,}\b"), F.translate(t, "OoQDIl|", "0000111")).otherwise(t)
+
+    def day(t: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(t, p, k)
+        by_name = _date(part(named, 3), _month(part(named, 2), True), part(named, 1))
+        return F.when(t.rlike(numeric), _date(part(numeric, 4), part(numeric, 3), part(numeric, 1))).when(t.rlike(named), by_name)
+
+    return bound(bound(normalize_line(F.replace(c, F.lit(","), F.lit(" "))), digits), day)
 
 
 def medical_dates(c: Column) -> Column:

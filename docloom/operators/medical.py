@@ -11,6 +11,7 @@ from docloom.functions.text import as_text, normalize_line
 from docloom.operators.classify import ORGANIZATIONS, select_pages
 from docloom.operators.lines import plain_lines
 from docloom.operators.rank import best
+from docloom.session import checkpointed
 
 # --- Fixed values: phrases, titles and patterns of certificates. ---
 NOT_ORGANIZATION = (
@@ -40,10 +41,10 @@ def _holds(lower: Column, words: tuple[str, ...]) -> Column:
 
 
 def repair_handwriting(c: Column) -> Column:
-    """Letters beside digits or date signs read as digits; a 7 or T between digits as a slash where a date results."""
+    """Letters beside digits or date signs read as digits, unless they belong to a word, such as a month; a 7 or T between digits as a slash where a date results."""
     text = as_text(c)
     for letter, digit in (("I", "1"), ("l", "1"), ("O", "0"), ("o", "0")):
-        text = F.regexp_replace(text, rf"(?<=[\d./-]){letter}|{letter}(?=[\d./-])", digit)
+        text = F.regexp_replace(text, rf"(?<=[\d./-]){letter}(?![A-Za-z])|(?<![A-Za-z]){letter}(?=[\d./-])", digit)
     return F.regexp_replace(text, r"(\d{1,2})[7T](\d{1,2})[7T](\d{2,4})", "$1/$2/$3")
 
 
@@ -51,10 +52,14 @@ def organization(c: Column) -> Column:
     """A line as the name of an organisation, or null."""
     text = F.regexp_replace(normalize_line(c), r"(?i)\b(?:for|fitness)\b.*$", "")
     text = F.trim(F.regexp_replace(F.regexp_replace(text, r"\(\d{4,}\)", ""), r"(?i)\bhospita\b", "HOSPITAL"))
-    lower = F.lower(text)
-    bad = any_of([lower.startswith(s) for s in NOT_ORGANIZATION_START]) | _holds(lower, NOT_ORGANIZATION) | V.first_medical_date(text).isNotNull()
-    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
-    return F.when(~bad & (letters >= 4), text)
+    start = "|".join(NOT_ORGANIZATION_START)
+    inside = "|".join(NOT_ORGANIZATION)
+
+    def name(t: Column) -> Column:
+        bad = F.lower(t).rlike(f"^(?:{start})|{inside}") | V.first_medical_date(t).isNotNull()
+        return F.when(~bad & (F.length(F.regexp_replace(t, r"\P{L}", "")) >= 4), t)
+
+    return V.bound(text, name)
 
 
 def applicant(c: Column) -> Column:
@@ -63,10 +68,12 @@ def applicant(c: Column) -> Column:
     name = F.regexp_replace(name, r"(?i)\b(?:of|aged|is\s+suffering)\b.*$", "")
     name = normalize_line(F.regexp_replace(name, "[^A-Za-z .'-]", " "))
     name = F.trim(F.regexp_replace(name, rf"(?i)^(?:{TITLE}\.?\s*/?\s+)+", ""))
-    lower = F.lower(name)
-    letters = F.length(F.regexp_replace(name, r"\P{L}", ""))
-    fine = name.rlike("^[A-Za-z .'-]{3,80}$") & (letters >= 3) & ~_holds(lower, ("government", "department", "doctor"))
-    return F.when(fine, name)
+
+    def fine(n: Column) -> Column:
+        letters = F.length(F.regexp_replace(n, r"\P{L}", ""))
+        return F.when(n.rlike("^[A-Za-z .'-]{3,80}$") & (letters >= 3) & ~F.lower(n).rlike("government|department|doctor"), n)
+
+    return V.bound(name, fine)
 
 
 def _organization_rows(lines: DataFrame, source: int) -> DataFrame:
@@ -96,7 +103,8 @@ def _applicant_rows(lines: DataFrame, source: int) -> DataFrame:
 
 def _range_rows(docs: DataFrame, lines: DataFrame, source: int) -> DataFrame:
     """(doc_id, from_date, to_date, score, line_no, source): ranges on a line, then of the joined text, then two dates in order."""
-    text = repair_handwriting(F.col("text"))
+    lines = lines.withColumn("text", V.bound(F.col("text"), repair_handwriting))
+    text = F.col("text")
     lower = F.lower(text)
     start, end = F.regexp_extract(text, RANGE, 1), F.regexp_extract(text, RANGE, 2)
     score = 100 + 12 * keyword_hits(lower, RANGE_WORDS) + F.when(lower.contains("with effect from"), 20).otherwise(0)
@@ -136,7 +144,7 @@ def extract_certificates(pages: DataFrame) -> DataFrame:
     are dd-MM-yyyy. Days that miss the range by more than one give way to the range's count. Documents without a
     relevant page have nulls; null texts count as blank pages.
     """
-    chosen = select_pages(pages)
+    chosen = checkpointed(select_pages(pages))
     part = lambda c: chosen.select("doc_id", F.col(c).alias("text"))
     primary, header, both = part("primary_text"), part("header_text"), part("combined_text")
     lines = {k: plain_lines(d) for k, d in (("primary", primary), ("header", header), ("both", both))}

@@ -9,7 +9,7 @@ from docloom.functions.text import QUALITY_LABELS
 from docloom.operators.classify import SHAPES, SIGNALS
 
 B36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-DIGITS, LETTERS = "0123456789", "ABCDEFGHIJ"
+DIGITS, LETTERS = "0123456789", "BCDFGHJKLM"
 
 
 def quoted(text: str) -> str:
@@ -44,7 +44,7 @@ INVOICE = f"""
 WITH {ITEMS}
 SELECT k AS doc_id, 'INV' || lpad(CAST(k AS VARCHAR), 7, '0') AS invoice_number,
        strftime(d + INTERVAL 10 YEAR, '%Y-%m-%d') AS invoice_date, 'VENDOR ' || {letters('s')} || ' INDUSTRIES LIMITED' AS vendor_name,
-       {gstin('s')} AS vendor_gstin, 'BUYER ' || {letters('c', 6)} || ' RETAIL SOLUTIONS LLP' AS buyer_name,
+       {gstin('s')} AS vendor_gstin, 'CLIENT ' || {letters('c', 6)} || ' RETAIL SOLUTIONS LLP' AS buyer_name,
        {gstin('(c + 5000)')} AS buyer_gstin, sub AS subtotal_cents, 2 * half AS tax_cents, sub + 2 * half AS total_cents,
        n AS n_items, sub AS items_total_cents, (sub + 2 * half) // 100 AS words_total, 'SUCCESS' AS status
 FROM inv
@@ -66,7 +66,7 @@ FROM (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS net FROM orders)
 
 CERTIFICATES = f"""
 SELECT c_custkey AS doc_id, 'CITY ' || {letters('c_custkey')} || ' HOSPITAL' AS organization_name,
-       'Ravi ' || substr({letters('c_custkey')}, 1, 1) || lower(substr({letters('c_custkey')}, 2)) AS applicant_name,
+       'Ravi Na' || lower({letters('c_custkey')}) AS applicant_name,
        strftime(DATE '2024-01-01' + CAST(c_custkey % 300 AS INT), '%d-%m-%Y') AS from_date,
        strftime(DATE '2024-01-01' + CAST(c_custkey % 300 + c_custkey % 20 AS INT), '%d-%m-%Y') AS to_date,
        CAST(c_custkey % 20 + 1 AS VARCHAR) AS total_absent_days
@@ -135,10 +135,10 @@ def contains_any(words: tuple[str, ...]) -> str:
     return f"count(*) FILTER ({' OR '.join(out)})"
 
 
-KEYWORDS = f"""
+KEYWORDS = rf"""
 WITH {LINES}, c AS (
   SELECT doc_id, lower(t) AS lo, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS co,
-         translate(regexp_replace(lower(t), '[^a-z0-9]', '', 'g'), '{KEYWORD_LOOKALIKES[0]}', '{KEYWORD_LOOKALIKES[1]}') AS fo
+         translate(regexp_replace(regexp_replace(lower(t), '\b[0-9][0-9.,]*\b', ' ', 'g'), '[^a-z0-9]', '', 'g'), '{KEYWORD_LOOKALIKES[0]}', '{KEYWORD_LOOKALIKES[1]}') AS fo
   FROM l)
 SELECT doc_id, {contains_any(P.BUSINESS)} AS business, {contains_any(P.GOVERNMENT)} AS government, {contains_any(P.BANK)} AS bank,
        {contains_any(P.ITEM_STOP)} AS item_stop

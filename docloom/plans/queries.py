@@ -36,13 +36,18 @@ def as_of():
     return F.lit(AS_OF).cast("date")
 
 
+def rendered(render: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered documents as a table, like documents that are read; else every use of a text would render it again."""
+    return checkpointed(render(spark, sf_dir))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def invoice_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header, parties, amounts and item count of every rendered invoice."""
-    out = extract_invoices(invoices(spark, sf_dir), as_of())
+    out = extract_invoices(rendered(invoices, spark, sf_dir), as_of())
     cents = lambda c: F.round(F.col(c) * 100).cast("long").alias(f"{c}_cents")
     return out.select(
         "doc_id", "invoice_number", V.parse_invoice_date(F.col("invoice_date")).cast("string").alias("invoice_date"), "vendor_name", "vendor_gstin",
@@ -53,14 +58,14 @@ def invoice_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_item_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of every rendered invoice."""
-    items = line_items(with_zones(index_lines(invoices(spark, sf_dir))))
+    items = line_items(with_zones(index_lines(rendered(invoices, spark, sf_dir))))
     cents = lambda c, n: F.round(F.col(c) * 100).cast("long").alias(n)
     return items.select("doc_id", "item_no", "description", "hsn", F.col("quantity").cast("long").alias("quantity"), cents("unit_price", "price_cents"), cents("amount", "amount_cents"))
 
 
 def line_item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section score and the sum of each rendered invoice's items."""
-    items = checkpointed(line_items(with_zones(index_lines(invoices(spark, sf_dir)))))
+    items = checkpointed(line_items(with_zones(index_lines(rendered(invoices, spark, sf_dir)))))
     out = section_score(items).join(sum_of_items(items), "doc_id")
     return out.select("doc_id", "score", F.round(F.col("items_total") * 100).cast("long").alias("items_cents"))
 
@@ -77,18 +82,18 @@ def amount_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def certificate_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields of every rendered certificate."""
-    return extract_certificates(certificates(spark, sf_dir))
+    return extract_certificates(rendered(certificates, spark, sf_dir))
 
 
 def id_card_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of every rendered identity card."""
-    out = extract_id_cards(id_cards(spark, sf_dir))
+    out = extract_id_cards(rendered(id_cards, spark, sf_dir))
     return out.select("doc_id", "document_type", "name", "dob", "gender", "aadhaar_number", "pan_number", "father_name", "dl_number", "valid_from", "valid_to", "confidence")
 
 
 def template_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates learnt from half of the invoices, then looked up for all: whether each one's layout is known."""
-    docs = invoices(spark, sf_dir)
+    docs = rendered(invoices, spark, sf_dir)
     lines = with_zones(index_lines(docs))
     signed = checkpointed(signatures(lines))
     records = quality(extract_invoices(docs.where("doc_id % 2 = 0"), as_of())).join(signed, "doc_id")
@@ -133,7 +138,7 @@ def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of every document and of every rendered card."""
-    docs = documents(spark, sf_dir).select("doc_id", F.upper("text").alias("text")).unionByName(id_cards(spark, sf_dir).withColumn("doc_id", -1 - F.col("doc_id")))
+    docs = documents(spark, sf_dir).select("doc_id", F.upper("text").alias("text")).unionByName(rendered(id_cards, spark, sf_dir).withColumn("doc_id", -1 - F.col("doc_id")))
     return classify(docs).select("doc_id", "document_type", "score_aadhaar", "score_pan", "score_driving_license")
 
 
@@ -232,7 +237,7 @@ def date_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def date_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All date-shaped texts in documents and in rendered cards."""
-    docs = documents(spark, sf_dir).unionByName(id_cards(spark, sf_dir).withColumn("doc_id", -1 - F.col("doc_id")))
+    docs = documents(spark, sf_dir).unionByName(rendered(id_cards, spark, sf_dir).withColumn("doc_id", -1 - F.col("doc_id")))
     c = F.col("text")
     return docs.select("doc_id", F.array_join(V.invoice_date_candidates(c), ",").alias("invoice"), F.array_join(V.id_dates(c), ",").alias("id")).where("invoice <> '' or id <> ''")
 

@@ -9,7 +9,7 @@ from docloom.functions.identifiers import gstin_check_digit, verhoeff_digit
 from docloom.functions.values import words_of_amount
 from docloom.session import table
 
-DIGITS, LETTERS = "0123456789", "ABCDEFGHIJ"
+DIGITS, LETTERS = "0123456789", "BCDFGHJKLM"
 
 
 def letters_of(key: Column, width: int = 4) -> Column:
@@ -39,7 +39,7 @@ def vendor_name(key: Column) -> Column:
 
 
 def buyer_name(key: Column) -> Column:
-    return F.concat(F.lit("BUYER "), letters_of(key, 6), F.lit(" RETAIL SOLUTIONS LLP"))
+    return F.concat(F.lit("CLIENT "), letters_of(key, 6), F.lit(" RETAIL SOLUTIONS LLP"))
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat_ws(
         "\n",
         F.concat(F.lit("CITY "), letters_of(key), F.lit(" HOSPITAL")), F.lit("Medical Leave Certificate"),
-        F.concat(F.lit("This is to certify that Mr. Ravi "), F.initcap(letters_of(key)), F.lit(" is suffering from viral fever.")),
+        F.concat(F.lit("This is to certify that Mr. Ravi Na"), F.lower(letters_of(key)), F.lit(" is suffering from viral fever.")),
         F.concat(F.lit("He is advised rest from "), form(start), F.lit(" to "), form(end), F.lit(".")),
     )
     second = F.concat_ws("\n", F.concat(F.lit("Period of absence "), (key % 20 + 1).cast("string"), F.lit(" days")), F.lit("Doctor Signature"), F.lit("Reg No 12345"))
