@@ -25,7 +25,7 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content, kind, error) of the files under a path.
 
     kind: pdf, image, text or null. error: why a file is not taken, else null; no file stops the others. Listing and
-    reading are Spark's; content is only read where it is used.
+    reading are Spark's, which passes over files of no bytes; content is only read where it is used.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = extension(F.col("path"))
