@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 19
@@ -31,9 +33,28 @@ def stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """The batches; after the last one, memory that Python's allocators hold back goes to the system.
+
+    Workers wait for further tasks beside an executor's heap, so what each keeps counts.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 4_000) -> None:
+    """At most `rows` rows go to a Python worker at a time; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows` rows, so that what Python holds at a time stays small."""
-    for batch in batches:
+    for batch in tidied(batches):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

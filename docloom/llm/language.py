@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.hashing import chunks, mix
+from docloom.llm.hashing import chunks, mix, slices, small_batches
 from docloom.session import table
 
 #: Languages of one family. Fixed values; a language that is not listed is a family of its own.
@@ -167,20 +167,16 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     the language is. A text that is null or has no letter is `und` with score 0; so is all if nothing can be
     learnt. A null doc_id is not held out, nor learnt from. Repeated rows are predicted alike. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     source = source.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
     x, langs = training_rows(source.where("not held_out and doc_id is not null"))
     model = docs.sparkSession.sparkContext.broadcast(LanguageModel.learn(x, langs) if len(x) else None)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            langs, score = [], []
-            for a in range(0, len(texts), 2_000):
-                part = texts[a : a + 2_000]
-                one, sure = model.value.predict(part) if model.value else (["und"] * len(part), np.zeros(len(part)))
-                langs += one
-                score += sure.tolist()
+            langs, score = model.value.predict(texts) if model.value else (["und"] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     out = source.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components
-from docloom.llm.hashing import overlap, slices
+from docloom.llm.hashing import overlap, slices, tidied
 from docloom.llm.registers import estimate, least_estimate, sketches
 from docloom.session import checkpointed, compacted
 
@@ -61,7 +61,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["key", "id", "n"],
         )
 
-    for batch in batches:
+    for batch in tidied(batches):
         key = np.concatenate((held[0], np.asarray(batch.column("key"))))
         ids = np.concatenate((held[1], np.asarray(batch.column("id"))))
         if not len(key):
@@ -118,7 +118,7 @@ def links(
     held = compacted(texts(told.select(F.explode(F.array("a", "b")).alias("id")).distinct(), again), 20_000)
 
     def likeness(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in it:
+        for batch in tidied(it):
             for at in range(0, len(batch), 1_000):
                 p = batch.iloc[at : at + 1_000]
                 own = list(dict.fromkeys([*p.text_a, *p.text_b]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components
-from docloom.llm.hashing import set_key, shingle_sets, slices
+from docloom.llm.hashing import set_key, shingle_sets, slices, small_batches, tidied
 from docloom.llm.links import bounded_broadcast, links
 from docloom.llm.registers import bands, estimate, least_estimate, sketches
 from docloom.session import checkpointed, compacted, table
@@ -55,6 +55,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
     of pairs at similarity 0.8 three in a million share no band. Pairs whose collision-corrected estimate
     falls 4.5 standard errors short of the threshold are dropped; all others are confirmed on their full sets.
     """
+    small_batches(docs.sparkSession)
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = whole.mapInArrow(
         lambda it: _sketched(it, words), "doc_id long, set_key binary, n_shingles long, sig binary, bands array<long>"
@@ -77,7 +78,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
     sets = lambda ts: shingle_sets(_encoded(ts), words)
 
     def guessed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
+        for p in tidied(it):
             if not len(p):
                 continue
             x = np.frombuffer(b"".join(p.sig_a), dtype="<u2").reshape(len(p), -1)
@@ -89,7 +90,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
             yield p[["a", "b"]].assign(guess=guess, likely=likely)
 
     def own_set(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
+        for p in tidied(it):
             keys = [set_key(s) for s in sets(p.text.tolist())]
             yield p.loc[[bytes(k) == own for k, own in zip(p.set_key, keys, strict=True)], ["id", "text"]]
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.hashing import NOT_SPACE, chunks, slices, words
+from docloom.llm.hashing import NOT_SPACE, chunks, slices, small_batches, words
 from docloom.session import table
 
 DIMS, BITS, HASHED = 3, 10, 256
@@ -127,6 +127,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = 1024, end:
     pass returns one aggregate. `tokenizer` is the path of a .tiktoken file that executors can read.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.withColumn("tie", F.xxhash64("doc_id", F.monotonically_increasing_id()))
     keyed = source.select("tie", "text").mapInArrow(_keyed, "tie long, place long, n_bytes long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.hashing import BYTE, chunks, mix, prefix_sums, range_hashes, slices
+from docloom.llm.hashing import BYTE, chunks, mix, prefix_sums, range_hashes, slices, small_batches, tidied
 from docloom.llm.links import bounded_broadcast
 from docloom.session import checkpointed, table
 
@@ -279,7 +279,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
             names=["context", "lo", "hi"],
         )
 
-    for batch in batches:
+    for batch in tidied(batches):
         held += zip(*[batch.column(c).to_pylist() for c in ("key", "context", "lo", "hi", "anchor", "bytes")], strict=True)
         cut = len(held)
         while cut and held[cut - 1][0] == held[-1][0]:
@@ -439,6 +439,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     Different texts are told apart by SHA-256 when copies are counted, and by 64-bit hashes while they are searched.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = base.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("id"))
     rows = checkpointed(rows)
