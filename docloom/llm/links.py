@@ -89,6 +89,7 @@ def links(
     sets: Callable[[list[str]], list[np.ndarray]],
     threshold: float,
     guess: Callable[[DataFrame], DataFrame] | None = None,
+    signatures: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Links edges(a, b) whose components are those of all links among texts that share a band; and the ids (id) that
     keyed holds more than once.
@@ -96,21 +97,23 @@ def links(
     keyed: (key, id), a row for each band of each node. texts: from ids (id), and those
     that came more than once, to (id, text) of the first. sets: from texts to their
     sets of hashes, sorted. guess: from pairs (a, b) to (a, b, guess, likely), an estimate of the likeness, and whether
-    it may reach the threshold; without it every pair is compared exactly.
+    it may reach the threshold; without it every pair is compared exactly. signatures: (id, size, sig) that belong to
+    guess, sig being little-endian 16-bit registers.
 
     A bucket gives each of its nodes' pair with one of them, its hub: as many pairs as rows, however large it is. What
     comes out alike (LOOSE or more) forms clusters, what is linked forms components. Where a cluster of three nodes or
-    more still has several components, each node outside the largest is compared with all nodes of the cluster, block
-    against block: no task gets more than two blocks of BLOCK texts, and only links that join components come out.
-    Links within a component could not change the result. Two linked nodes of which one is linked with a hub that both
-    share lie in one cluster, as distances add up; so do others unless the hub of every band that they share is unlike them.
+    more still has several components, its nodes of different components are compared; then, in every bucket, its nodes
+    of different clusters: so no two nodes that share a band are left out, whatever their hubs are. Links within a
+    component could not change the result. Both go block against block: no task gets more than two blocks of BLOCK
+    nodes, and nodes of a group's largest part are not paired with each other.
     """
     dealt = keyed.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
     met = compacted(dealt.mapInArrow(_buckets, "key long, id long, n int"))
     again = met.where("n = 0").select("id").distinct()
     members = met.where("n > 0").select("key", "id")
     hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
-    stars = members.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    spokes = members.join(hubs, "key").where("id <> hub")
+    stars = spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     if guess:
         told = compacted(guess(stars).where(F.col("guess") >= LOOSE))
     else:
@@ -130,55 +133,84 @@ def links(
                     out.append(1.0 if common >= threshold * union - 1e-9 else min(common / union, threshold - 1e-6))
                 yield p[["a", "b"]].assign(likeness=out)
 
-    both = told.where("likely").select("a", "b").join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
-    measured = both.mapInPandas(likeness, "a long, b long, likeness double")
+    def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        both = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
+        return both.mapInPandas(likeness, "a long, b long, likeness double")
+
+    measured = compared(told.where("likely").select("a", "b"), held)
     measured = measured.unionByName(told.where("not likely").select("a", "b", F.least("guess", F.lit(threshold - 1e-6)).alias("likeness")))
     measured = compacted(measured.where(F.col("likeness") >= LOOSE))
     edges = measured.where(F.col("likeness") >= threshold).select("a", "b")
     found = connected_components(edges).withColumnRenamed("component", "label")
     clusters = connected_components(measured).withColumnRenamed("component", "cluster")
-    tagged = clusters.join(found, "id", "left").select("cluster", "id", F.coalesce("label", "id").alias("label"))
-    sizes = tagged.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.sum("n").alias("nodes"), F.max("n").alias("most"))
-    mixed = largest.where("nodes > 2 and most < nodes")
-    mixed = mixed.withColumns({"minors": F.ceil((F.col("nodes") - F.col("most")) / BLOCK).cast("int"), "majors": F.ceil(F.col("most") / BLOCK).cast("int")})
-    left = compacted(tagged.join(mixed.select("cluster", "major", "minors", "majors"), "cluster"))
-    if not left.limit(1).count():
+    tagged = clusters.join(found, "id", "left").select("id", "cluster", F.coalesce("label", "id").alias("label"))
+    linked = lambda it: _meetings(it, lambda rows: _compare(rows, sets, threshold))
+    met_in = _met(tagged.select(F.col("cluster").alias("grp"), "id", F.col("label").alias("part"), "label"), 2)
+    if met_in is not None:
+        edges = edges.union(compacted(_sent(met_in, held.withColumnRenamed("text", "load")).mapInArrow(linked, "a long, b long")))
+    spokes = spokes.select(F.col("key").alias("grp"), "id").join(tagged, "id", "left")
+    met_in = _met(spokes.select("grp", "id", F.coalesce("cluster", "id").alias("part"), F.coalesce("label", "id").alias("label")), 1)
+    if met_in is None:
         return edges, again
-    # Blocks of other nodes are numbered from 0, those of the largest component from -1 downwards.
+    if signatures is None:
+        more = _sent(met_in, held.withColumnRenamed("text", "load")).mapInArrow(linked, "a long, b long")
+    else:
+        near = lambda it: _meetings(it, lambda rows: _near(rows, threshold))
+        sent = _sent(met_in, signatures.select("id", F.struct("size", "sig").alias("load")))
+        pairs = compacted(sent.mapInArrow(near, "a long, b long").distinct())
+        found = compacted(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), again), 20_000)
+        more = compared(pairs, found).where(F.col("likeness") >= threshold).select("a", "b")
+    return edges.union(compacted(more)), again
+
+
+def _met(tagged: DataFrame, least: int) -> DataFrame | None:
+    """Of groups (grp) with more than `least` nodes in several parts: rows (grp, id, part, label, own, x, y), one for
+    each meeting of blocks x and y that a node, of block own, takes part in; None if there are no such groups.
+
+    tagged: (grp, id, part, label). Every two nodes of different parts of a group meet.
+    """
+    several = tagged.groupBy("grp").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("nodes"))
+    several = several.where(f"lo <> hi and nodes > {least}")
+    left = compacted(tagged.join(several.select("grp"), "grp"))
+    if not left.limit(1).count():
+        return None
+    sizes = left.groupBy("grp", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("grp").agg(F.max(F.struct("n", "part"))["part"].alias("major"), F.sum("n").alias("nodes"), F.max("n").alias("most"))
+    one = F.col("nodes") <= BLOCK
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    largest = largest.select(
+        "grp", F.when(~one, F.col("major")).alias("major"), F.when(one, 1).otherwise(blocks(F.col("nodes") - F.col("most"))).alias("minors"),
+        F.when(one, 0).otherwise(blocks(F.col("most"))).alias("majors"),
+    )
+    # Blocks of other nodes are numbered from 0, those of the largest part from -1 downwards. A small group is one block.
     small = F.expr("pmod(xxhash64(id), minors)").cast("int")
-    own = F.when(F.col("label") == F.col("major"), -1 - F.expr("pmod(xxhash64(id), majors)").cast("int")).otherwise(small)
-    left = left.withColumn("own", own)
+    own = F.when(F.col("part") == F.col("major"), -1 - F.expr("pmod(xxhash64(id), majors)").cast("int")).otherwise(small)
     meets = F.when(F.col("own") < 0, F.expr("transform(sequence(0, minors - 1), m -> struct(m as x, own as y))")).otherwise(
         F.concat(
             F.expr("transform(sequence(0, minors - 1), m -> struct(least(m, own) as x, greatest(m, own) as y))"),
-            F.expr("transform(sequence(1, majors), m -> struct(own as x, -m as y))"),
+            F.expr("if(majors = 0, array(), transform(sequence(1, majors), m -> struct(own as x, -m as y)))"),
         )
     )
-    left = left.join(held, "id").select("cluster", "id", "label", "own", "text", F.inline(meets))
-    left = left.select(F.xxhash64("cluster", "x", "y").alias("meeting"), "id", "label", "x", "y", "own", "text")
-    left = left.repartition("meeting").sortWithinPartitions("meeting", "own", "id")
-    more = left.mapInArrow(lambda it: _meetings(it, sets, threshold), "a long, b long")
-    return edges.union(compacted(more)), again
+    return left.join(largest, "grp").withColumn("own", own).select("grp", "id", "part", "label", "own", F.inline(meets))
 
 
-def _meetings(batches: Iterator[pa.RecordBatch], sets: Callable[[list[str]], list[np.ndarray]], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links between components, for rows in order of their meeting, a pair of blocks. The last meeting waits for the next batch."""
+def _sent(met_in: DataFrame, loads: DataFrame) -> DataFrame:
+    """Rows of _met in order of their meeting, each with its node's load."""
+    sent = met_in.join(loads, "id").select(F.xxhash64("grp", "x", "y").alias("meeting"), "id", "part", "label", "x", "y", "own", "load")
+    return sent.repartition("meeting").sortWithinPartitions("meeting", "own", "id")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], compare: Callable[[list[list[tuple]]], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Pairs that compare tells of whole meetings, for rows in order of their meeting. The last meeting waits for the next batch."""
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        out: list[tuple[int, int]] = []
-        at = 0
-        while at < len(rows):
-            to = at + 1
-            while to < len(rows) and rows[to][0] == rows[at][0]:
-                to += 1
-            out += _compare(rows[at:to], sets, threshold)
-            at = to
+        cuts = [0, *(k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]), len(rows)]
+        out = compare([rows[a:b] for a, b in zip(cuts, cuts[1:])])
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     for batch in slices(batches):
-        held += zip(*[batch.column(c).to_pylist() for c in ("meeting", "id", "label", "x", "y", "own", "text")], strict=True)
+        held += zip(*[batch.column(c).to_pylist() for c in ("meeting", "id", "part", "label", "x", "y", "own", "load")], strict=True)
         cut = len(held)
         while cut and held[cut - 1][0] == held[-1][0]:
             cut -= 1
@@ -189,37 +221,67 @@ def _meetings(batches: Iterator[pa.RecordBatch], sets: Callable[[list[str]], lis
         yield solve(held)
 
 
-def _compare(rows: list[tuple], sets: Callable[[list[str]], list[np.ndarray]], threshold: float) -> list[tuple[int, int]]:
-    """Links (id, id) between two blocks, as many as join their components: likely pairs are compared exactly, in order of the estimate."""
-    _, ids, label, x, y, own, text = zip(*rows, strict=True)
-    members = sets(list(text))
-    size = np.array([len(s) for s in members])
-    label, own = np.array(label), np.array(own)
-    first, second = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
-    sig = sketches(members, REGISTERS) if len(first) * len(second) > 64 else None
-    pairs: list[tuple[float, int, int]] = []
-    for i in first.tolist():
-        js = second[label[second] != label[i]]
+def _partners(rows: list[tuple], size: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For a meeting's rows of the one block those of the other that are of another part and of a size that may be alike."""
+    part, own = np.array([r[2] for r in rows]), np.array([r[6] for r in rows])
+    x, y = rows[0][4], rows[0][5]
+    second = np.flatnonzero(own == y)
+    for i in np.flatnonzero(own == x).tolist():
+        js = second[part[second] != part[i]]
+        if x == y:
+            js = js[js > i]
         js = js[np.minimum(size[js], size[i]) >= threshold * np.maximum(size[js], size[i]) - 1e-9]
-        if sig is None:
-            pairs += [(0.0, i, j) for j in js.tolist()]
-        elif len(js):
-            guess = estimate((sig[js] == sig[i]).mean(axis=1), np.full(len(js), size[i]), size[js], REGISTERS)
-            near = guess >= least_estimate(threshold, np.minimum(size[js], size[i]), REGISTERS)
-            pairs += zip(guess[near].tolist(), [i] * int(near.sum()), js[near].tolist(), strict=True)
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while root.get(v, v) != v:
-            v = root[v]
-        return v
-
-    out = []
-    for _, i, j in sorted(pairs, reverse=True):
-        p, q = find(int(label[i])), find(int(label[j]))
-        if p != q:
-            common = overlap(members[i], members[j])
-            if common >= threshold * (size[i] + size[j] - common) - 1e-9:
-                root[max(p, q)] = min(p, q)
-                out.append((ids[i], ids[j]))
+        if len(js):
+            yield i, js
+
+
+def _alike(sig: np.ndarray, size: np.ndarray, i: int, js: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of js whose estimated likeness to i may reach the threshold, and the estimates."""
+    guess = estimate((sig[js] == sig[i]).mean(axis=1), np.full(len(js), size[i]), size[js], sig.shape[1])
+    near = guess >= least_estimate(threshold, np.minimum(size[js], size[i]), sig.shape[1])
+    return js[near], guess[near]
+
+
+def _near(meetings: list[list[tuple]], threshold: float) -> list[tuple[int, int]]:
+    """Pairs (id, id) of different parts that may be links by their signatures."""
+    out: list[tuple[int, int]] = []
+    for rows in meetings:
+        size = np.array([r[7]["size"] for r in rows])
+        sig = np.frombuffer(b"".join(r[7]["sig"] for r in rows), dtype="<u2").reshape(len(rows), -1)
+        for i, js in _partners(rows, size, threshold):
+            js, _ = _alike(sig, size, i, js, threshold)
+            out += [(min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])) for j in js.tolist()]
+    return list(dict.fromkeys(out))
+
+
+def _compare(meetings: list[list[tuple]], sets: Callable[[list[str]], list[np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links (id, id) between parts, as many as join their components: likely pairs are compared exactly, in order of the estimate."""
+    texts = list(dict.fromkeys(r[7] for rows in meetings for r in rows))
+    of = dict(zip(texts, sets(texts), strict=True))
+    out: list[tuple[int, int]] = []
+    for rows in meetings:
+        members = [of[r[7]] for r in rows]
+        size = np.array([len(s) for s in members])
+        near = list(_partners(rows, size, threshold))
+        pairs: list[tuple[float, int, int]] = []
+        sig = sketches(members, REGISTERS) if sum(len(js) for _, js in near) > 512 else None
+        for i, js in near:
+            guess = np.zeros(len(js))
+            if sig is not None:
+                js, guess = _alike(sig, size, i, js, threshold)
+            pairs += zip(guess.tolist(), [i] * len(js), js.tolist(), strict=True)
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.get(v, v) != v:
+                v = root[v]
+            return v
+
+        for _, i, j in sorted(pairs, reverse=True):
+            p, q = find(rows[i][3]), find(rows[j][3])
+            if p != q:
+                common = overlap(members[i], members[j])
+                if common >= threshold * (size[i] + size[j] - common) - 1e-9:
+                    root[max(p, q)] = min(p, q)
+                    out.append((rows[i][1], rows[j][1]))
     return out

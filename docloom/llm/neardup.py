@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
         sized = pairs.join(signatures.toDF("a", "size_a", "sig_a"), "a").join(signatures.toDF("b", "size_b", "sig_b"), "b")
         return sized.mapInPandas(guessed, "a long, b long, guess double, likely boolean")
 
-    edges, _ = links(nodes.select("id", F.explode("bands").alias("key")), texts, sets, threshold, guess)
+    edges, _ = links(nodes.select("id", F.explode("bands").alias("key")), texts, sets, threshold, guess, signatures)
     found = connected_components(edges)
     named = found.join(nodes.select("id", "least_id"), "id")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))

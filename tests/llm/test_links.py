@@ -24,3 +24,33 @@ def test_buckets_do_not_depend_on_batches(batch, monkeypatch):
     assert sorted(g for g in got if g[2]) == sorted(want)
     twice = {i for k in np.unique(key).tolist() if k % 64 == 0 for i in ids[key == k].tolist() if (ids[key == k] == i).sum() > 1}
     assert {g[1] for g in got if not g[2]} == twice
+
+
+def family(others):
+    """Sets of 100 by id: a hub (id 0) unlike all, `others` nodes unlike all, and two that are alike at 0.9."""
+    out = {i: np.arange(100) + 1000 * i for i in range(others + 1)}
+    for i in (1, 2):
+        out[others + i] = np.append(np.arange(100) + 500_000_000, 600_000_000 + i)
+    return {i: np.sort(s).astype(np.uint64) for i, s in out.items()}
+
+
+@pytest.mark.parametrize("others, signed", [(0, False), (5, False), (600, False), (5, True), (600, True)])
+def test_pair_whose_hub_is_unlike_both(spark, others, signed):
+    members = family(others)
+    planted = (others + 1, others + 2)
+    keyed = spark.createDataFrame([(64, i) for i in members] + [(129, i) for i in (0, *planted)], "key long, id long")
+
+    def sets(texts):
+        return [members[int(t)] for t in texts]
+
+    def texts(ids, again):
+        return ids.selectExpr("id", "cast(id as string) text")
+
+    extra = {}
+    if signed:
+        sig = links.sketches(list(members.values()), links.REGISTERS)
+        rows = [(i, 100, r.astype("<u2").tobytes()) for i, r in zip(members, sig, strict=True)]
+        extra["signatures"] = spark.createDataFrame(rows, "id long, size long, sig binary")
+        extra["guess"] = lambda pairs: pairs.selectExpr("a", "b", "0D guess", "false likely")
+    edges, _ = links.links(keyed, texts, sets, 0.8, **extra)
+    assert {tuple(sorted(r)) for r in edges.collect()} == {planted}
