@@ -129,6 +129,12 @@ def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.md5(T.normalize_line(c)).alias("line"), F.md5(T.comparison_key(c)).alias("key"), F.md5(T.strip_edges(c)).alias("edges"), F.md5(T.digit_lookalikes(plain)).alias("digits"), F.md5(T.letter_lookalikes(plain)).alias("letters"))
 
 
+def text_lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ASCII of whole texts with look-alikes exchanged, of which text_cleaning and its SQL take beginnings."""
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.digit_lookalikes(plain)).alias("digits"), F.md5(T.letter_lookalikes(plain)).alias("letters"))
+
+
 def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each keyword family how many lines of a document it fits."""
     lines = plain_lines(documents(spark, sf_dir))
@@ -271,7 +277,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         invoice_round_trip, line_item_round_trip, line_item_scores, amount_reconstruction, certificate_round_trip, id_card_round_trip,
-        template_round_trip, line_index, zone_sizes, text_cleaning, keyword_lines, classification, line_quality_top, longest_line, pass_merge,
+        template_round_trip, line_index, zone_sizes, text_cleaning, text_lookalikes, keyword_lines, classification, line_quality_top, longest_line, pass_merge,
         verhoeff_numbers, gstin_numbers, gstin_search, identifier_repair, distances, amount_parsing, amount_words, date_parsing, date_scan,
         entity_scan, tax_checks, event_windows,
     )
