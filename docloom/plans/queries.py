@@ -112,14 +112,10 @@ def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many lines of every document lie in each zone; none of them has a table, so ends and sizes follow from counts."""
+    """How many lines of every document lie in each zone."""
     lines = with_zones(plain_lines(documents(spark, sf_dir)).withColumns({"page_no": F.lit(1), "x": F.lit(0), "y": F.col("line_no") * 22, "w": F.lit(24), "h": F.lit(18), "col": F.lit("FULL")}))
     count = lambda c: F.count(F.when(F.col(c), 1)).alias(f"n_{c[3:]}")
-    out = lines.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), count("in_top"), count("in_bottom"), F.max(F.col("table_header")).alias("_h"), F.max("total_line").alias("_t"),
-        F.bool_or("is_buyer_header").alias("_b"), F.min("footer_start").alias("_f"),
-    )
-    return out.where("_h is null and _t is null and not _b").select("doc_id", "n_lines", "n_top", "n_bottom")
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), count("in_top"), count("in_bottom"), count("in_table"))
 
 
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:

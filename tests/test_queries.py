@@ -41,6 +41,14 @@ def test_lookalikes_of_whole_texts(spark, tmp_path):
     assert got == want
 
 
+def test_zone_sizes_of_documents_with_tables(spark, tmp_path):
+    items = [f"Item {i} 2 50.00 100.00" for i in range(7)]
+    rows = [(1, "\n".join(["Acme Traders", "Invoice", "Description HSN Qty Rate Amount", *items, "Grand Total 700.00", "Thanks"])), (2, "a\nb\nc"), (3, "Bill To\nRavi")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_table) for r in queries.zone_sizes(spark, str(tmp_path)).collect()}
+    assert got == {1: (12, 7), 2: (3, 0), 3: (2, 0)}
+
+
 def test_entry_point(spark):
     import __spark_entry__
 
