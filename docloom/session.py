@@ -1,9 +1,11 @@
-"""Session helpers: one place for configuration, table reading and checkpoints."""
+"""Session helpers: one place for configuration, table reading, checkpoints and intermediate tables."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is used instead.
+    Only where that is unset and everything runs in one process (tests) is a temporary folder used instead; a cluster
+    without the setting is an error, since its executors would not see each other's files.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -50,3 +59,43 @@ def compacted(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A checkpoint of df read in partitions of about `rows` rows, so that small tables do not leave hundreds of small files."""
     df = checkpointed(df)
     return df.coalesce(max(1, -(-df.count() // rows)))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a table of its own in the shared folder and read again.
+
+    Like a checkpoint this cuts the lineage and survives lost executors, but columns are compressed, small files are
+    read many to a task, and Spark knows the table's size when it plans a join. The table is marked for deletion at the
+    session's end; forget() deletes it before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docloom_path = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing will read any more."""
+    for df in tables:
+        if df is not None:
+            files, where = _files(df.sparkSession, df._docloom_path)
+            files.delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffles and broadcasts of finished jobs now.
+
+    It does so when the driver's collector finds that no plan refers to them; a driver with little garbage would hold
+    them, and executors their files, for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
