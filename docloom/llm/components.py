@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import checkpointed
-
-#: Links in a partition; the number of partitions follows the number of links.
-ROWS = 200_000
+from docloom.session import forget, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -16,30 +13,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round every node takes the least label among its own and its neighbours', then the label of that label
     (pointer jumping), so the rounds grow with the logarithm of the longest path. Only partial aggregates and joins
-    that adaptive execution can split meet a hub's many links. Every round is a reliable checkpoint; nothing is sent
-    to the driver but one count. Null ids have no links. No edges: an empty table.
+    that adaptive execution can split meet a hub's many links. Every round is a table in the shared folder; nothing
+    is sent to the driver but whether a label changed. Null ids have no links. No edges: an empty table.
     """
-    both = (
+    both = stored(
         edges.select("a", "b")
         .union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         .where("a is not null and b is not null")
         .distinct()
     )
-    both = checkpointed(both)
-    parts = max(1, -(-both.count() // ROWS))
-    both = both.coalesce(parts)
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"))
-    labels = checkpointed(labels.coalesce(parts))
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"), F.lit(None).cast("long").alias("old")))
     for _ in range(max_rounds):
-        heard = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, "id").select("id", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
-        root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        jumped = nearer.join(root, "component", "left").select(
-            "id", F.least("component", F.coalesce("root", "component")).alias("component"), "old"
-        )
-        jumped = checkpointed(jumped.coalesce(parts))
+        own = labels.select("id", "component")
+        heard = both.join(own.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("heard"))
+        nearer = own.join(heard, "id").select("id", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
+        root = own.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        jumped = nearer.join(root, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "old")
+        jumped = stored(jumped)
         changed = jumped.where("component <> old").limit(1).count()
-        labels = jumped.select("id", "component")
+        forget(labels)
+        labels = jumped
         if not changed:
-            return labels
+            forget(both)
+            return labels.select("id", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

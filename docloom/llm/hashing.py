@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,17 @@ def tidied(batches: Iterator) -> Iterator:
         trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 4_000) -> None:
-    """At most `rows` rows go to a Python worker at a time; a smaller setting of the session stays."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 4_000) -> Iterator[None]:
+    """Meanwhile at most `rows` rows go to a Python worker at a time; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:

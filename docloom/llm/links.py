@@ -1,4 +1,4 @@
-"""From band keys to verified links, without pairing everything that shares a bucket."""
+"""From band keys to components, without pairing everything that shares a bucket."""
 
 from __future__ import annotations
 
@@ -11,175 +11,174 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components
-from docloom.llm.hashing import overlap, slices, tidied
-from docloom.llm.registers import estimate, least_estimate, sketches
-from docloom.session import checkpointed, compacted
+from docloom.llm.hashing import mix, slices, tidied
+from docloom.llm.registers import estimate, least_estimate
+from docloom.session import forget, stored
 
-#: Texts of this likeness or more belong to one cluster.
-LOOSE = 0.6
 BLOCK = 256
-REGISTERS = 256
-#: Of a bucket's size only so much is told.
-SMALL = 16
-LONG_RUN = 1 << 16
+#: Keys whose hubs a task remembers, and ids that it knows to have sent.
+SLOTS = 1 << 18
+#: Rows of one 64-bit number that are broadcast: two megabytes.
+FEW = 250_000
 
+SIGNED = "deal long, key long, id long, hub long"
 
-def bounded_broadcast(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df, a few 64-bit columns wide, marked for broadcast if a count shows at most `most` rows (about 16 MB a column)."""
-    df = compacted(df)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
+def bounded_broadcast(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, one 64-bit column or a few, as a table; marked for broadcast if it has at most `most` rows."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= most else df
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (key, id): a row (key, id, n) for each different id of a key that has n > 1 of them, n
-    being SMALL + 1 at most, and a row with n = 0 for each id that comes again under a key of the first band.
 
-    What is held back for the next batch is the last key's ids, and of a long run only SMALL + 1 of them.
-    """
-    held = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
-    long_run: int | None = None
+def slots() -> np.ndarray:
+    """A memory of ids by their lowest bits; what it holds at first fits no id of its place."""
+    return np.arange(SLOTS, dtype=np.int64) ^ 1
 
-    def told(key: np.ndarray, ids: np.ndarray, run_on: int | None) -> pa.RecordBatch:
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        again = np.zeros(len(key), dtype=bool)
-        again[1:] = (ids[1:] == ids[:-1]) & ~first[1:]
-        twice = again & (key & 63 == 0)
-        more_key, more_id = key[twice], ids[twice]
-        key, ids, first = key[~again], ids[~again], first[~again]
-        run = np.cumsum(first) - 1
-        n = np.minimum(np.bincount(run, minlength=1), SMALL + 1)[run] if len(run) else run
-        if run_on is not None:
-            n = np.where(key == run_on, SMALL + 1, n)
-        keep = n > 1
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((key[keep], more_key))),
-                pa.array(np.concatenate((ids[keep], more_id))),
-                pa.array(np.concatenate((n[keep], np.zeros(len(more_id), dtype=np.int64))).astype(np.int32)),
-            ],
-            names=["key", "id", "n"],
-        )
 
-    for batch in tidied(batches):
-        key = np.concatenate((held[0], np.asarray(batch.column("key"))))
-        ids = np.concatenate((held[1], np.asarray(batch.column("id"))))
+def local_hubs(signed: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of SIGNED from (keys, ids): a row of keys for each id.
+
+    The first id that a task sees under a key is the key's hub there. It goes on to where the key's hubs from all tasks
+    meet (hub = id, dealt by key); other ids of the key are its spokes already (hub is the other id), and are dealt by
+    a hash. So a key that a third of all rows share sends little more than one row a task to one place.
+    """
+    key_at, hub_at, used = np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=bool)
+    for keys, ids in signed:
+        key, ids = keys.ravel(), np.repeat(ids, keys.shape[1])
         if not len(key):
             continue
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield told(key[:cut], ids[:cut], long_run)
-            long_run = None
-        key, ids = key[cut:], ids[cut:]
-        if len(key) > LONG_RUN and ids[0] != ids[-1]:
-            # Surely a large bucket: its ids may go out as they come. The last one stays, to see whether it comes again.
-            if long_run is not None or len(np.unique(ids)) > SMALL + 1:
-                long_run = int(key[0])
-                last = int(np.searchsorted(ids, ids[-1]))
-                yield told(key[:last], ids[:last], long_run)
-                key, ids = key[last:], ids[last:]
-        held = (key, ids)
-    if len(held[0]):
-        yield told(*held, long_run)
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        key, ids = key[first], ids[first]
+        begins = np.ones(len(key), dtype=bool)
+        begins[1:] = key[1:] != key[:-1]
+        head, run = np.flatnonzero(begins), np.cumsum(begins) - 1
+        slot = (key[head] >> 6) & (SLOTS - 1)
+        known = used[slot] & (key_at[slot] == key[head])
+        hub = np.where(known, hub_at[slot], ids[head])[run]
+        key_at[slot], used[slot] = key[head], True
+        hub_at[slot] = hub[head]
+        out = (ids != hub) | (begins & ~known[run])
+        key, ids, hub = key[out], ids[out], hub[out]
+        spread = mix(key.astype(np.uint64) ^ mix(ids.astype(np.uint64))).astype(np.int64)
+        arrays = [pa.array(np.where(ids == hub, key, spread)), pa.array(key), pa.array(ids), pa.array(hub)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["deal", "key", "id", "hub"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of SIGNED in order of (key, id): spokes (key, hub, id). A key's least hub is the hub of its others."""
+    last_key, last_hub, last_id = None, 0, 0
+    for batch in tidied(batches):
+        key, ids, hub = (np.asarray(batch.column(c)) for c in ("key", "id", "hub"))
+        heads = ids == hub
+        spokes = [(key[~heads], hub[~heads], ids[~heads])]
+        key, ids = key[heads], ids[heads]
+        if len(key):
+            begins = np.ones(len(key), dtype=bool)
+            begins[1:] = key[1:] != key[:-1]
+            begins[0] = last_key is None or key[0] != last_key
+            again = np.zeros(len(key), dtype=bool)
+            again[1:] = (ids[1:] == ids[:-1]) & ~begins[1:]
+            again[0] = not begins[0] and ids[0] == last_id
+            starts = np.flatnonzero(begins)
+            run = np.cumsum(begins) - 1
+            hub = np.where(run >= 0, ids[starts][np.maximum(run, 0)] if len(starts) else last_hub, last_hub)
+            out = (ids != hub) & ~again
+            spokes.append((key[out], hub[out], ids[out]))
+            last_key, last_hub, last_id = int(key[-1]), int(hub[-1]), int(ids[-1])
+        arrays = [pa.array(np.concatenate(c)) for c in zip(*spokes, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "hub", "id"])
 
 
 def links(
-    keyed: DataFrame,
-    texts: Callable[[DataFrame, DataFrame], DataFrame],
-    sets: Callable[[list[str]], list[np.ndarray]],
+    signed: DataFrame,
+    texts: Callable[[DataFrame], DataFrame],
+    alike: Callable[[list[str], list[str]], np.ndarray],
+    signatures: Callable[[DataFrame, DataFrame], DataFrame],
     threshold: float,
     guess: Callable[[DataFrame], DataFrame] | None = None,
-    signatures: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Links edges(a, b) whose components are those of all links among texts that share a band; and the ids (id) that
-    keyed holds more than once.
-
-    keyed: (key, id), a row for each band of each node. texts: from ids (id), and those
-    that came more than once, to (id, text) of the first. sets: from texts to their
-    sets of hashes, sorted. guess: from pairs (a, b) to (a, b, guess, likely), an estimate of the likeness, and whether
-    it may reach the threshold; without it every pair is compared exactly. signatures: (id, size, sig) that belong to
-    guess, sig being little-endian 16-bit registers.
-
-    A bucket gives each of its nodes' pair with one of them, its hub: as many pairs as rows, however large it is. What
-    comes out alike (LOOSE or more) forms clusters, what is linked forms components. Where a cluster of three nodes or
-    more still has several components, its nodes of different components are compared; then, in every bucket, its nodes
-    of different clusters: so no two nodes that share a band are left out, whatever their hubs are. Links within a
-    component could not change the result. Both go block against block: no task gets more than two blocks of BLOCK
-    nodes, and nodes of a group's largest part are not paired with each other.
+) -> DataFrame:
+    """(id, component) of every id that is linked with another; component is the least id that links lead to.
+
+    signed: rows of SIGNED, from local_hubs. texts: from ids (id) to (id, text). alike: for two lists of texts whether
+    each pair is a link. guess: from pairs (a, b) to (a, b, likely), likely saying whether they may be a link; without
+    it every pair is compared exactly. signatures: from rows (key, id, ...) and the texts held so far to the rows with
+    `size` and `sig` of the id, sig being little-endian 16-bit registers of the sets that the key was made of.
+
+    A bucket first gives each of its nodes' pair with a hub: as many pairs as rows, however large it is. What is linked
+    forms components. Where a bucket of three nodes or more still has nodes of several components, these meet block
+    against block: no task gets more than two blocks of BLOCK nodes at a time, nodes are compared by their signatures,
+    and only likely pairs' texts are fetched and compared exactly. So no two nodes that share a band are left out,
+    whatever their hubs are. Links within a component could not change the result.
     """
-    dealt = keyed.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
-    met = compacted(dealt.mapInArrow(_buckets, "key long, id long, n int"))
-    again = met.where("n = 0").select("id").distinct()
-    members = met.where("n > 0").select("key", "id")
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
-    spokes = members.join(hubs, "key").where("id <> hub")
-    stars = spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    if guess:
-        told = compacted(guess(stars).where(F.col("guess") >= LOOSE))
-    else:
-        told = compacted(stars).withColumns({"guess": F.lit(0.0), "likely": F.lit(True)})
-    held = compacted(texts(told.select(F.explode(F.array("a", "b")).alias("id")).distinct(), again), 20_000)
-
-    def likeness(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    dealt = signed.repartition("deal").sortWithinPartitions("key", "id")
+    met = stored(dealt.mapInArrow(_buckets, "key long, hub long, id long"))
+    low, high = F.least("hub", "id"), F.greatest("hub", "id")
+    pairs = met.select(low.alias("a"), high.alias("b")).distinct()
+    told = stored(guess(pairs) if guess else pairs.withColumn("likely", F.lit(True)))
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = stored(texts(ends(told.where("likely"))))
+
+    def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in tidied(it):
             for at in range(0, len(batch), 1_000):
                 p = batch.iloc[at : at + 1_000]
-                own = list(dict.fromkeys([*p.text_a, *p.text_b]))
-                of = dict(zip(own, sets(own), strict=True))
-                out = []
-                for s, t in zip(p.text_a, p.text_b, strict=True):
-                    common = overlap(of[s], of[t])
-                    union = len(of[s]) + len(of[t]) - common
-                    out.append(1.0 if common >= threshold * union - 1e-9 else min(common / union, threshold - 1e-6))
-                yield p[["a", "b"]].assign(likeness=out)
+                yield p.loc[alike(p.text_a.tolist(), p.text_b.tolist()), ["a", "b"]]
 
     def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
         both = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
-        return both.mapInPandas(likeness, "a long, b long, likeness double")
-
-    measured = compared(told.where("likely").select("a", "b"), held)
-    measured = measured.unionByName(told.where("not likely").select("a", "b", F.least("guess", F.lit(threshold - 1e-6)).alias("likeness")))
-    measured = compacted(measured.where(F.col("likeness") >= LOOSE))
-    edges = measured.where(F.col("likeness") >= threshold).select("a", "b")
-    found = connected_components(edges).withColumnRenamed("component", "label")
-    clusters = connected_components(measured).withColumnRenamed("component", "cluster")
-    tagged = clusters.join(found, "id", "left").select("id", "cluster", F.coalesce("label", "id").alias("label"))
-    linked = lambda it: _meetings(it, lambda rows: _compare(rows, sets, threshold))
-    met_in = _met(tagged.select(F.col("cluster").alias("grp"), "id", F.col("label").alias("part"), "label"), 2)
-    if met_in is not None:
-        edges = edges.union(compacted(_sent(met_in, held.withColumnRenamed("text", "load")).mapInArrow(linked, "a long, b long")))
-    spokes = spokes.select(F.col("key").alias("grp"), "id").join(tagged, "id", "left")
-    met_in = _met(spokes.select("grp", "id", F.coalesce("cluster", "id").alias("part"), F.coalesce("label", "id").alias("label")), 1)
-    if met_in is None:
-        return edges, again
-    if signatures is None:
-        more = _sent(met_in, held.withColumnRenamed("text", "load")).mapInArrow(linked, "a long, b long")
-    else:
-        near = lambda it: _meetings(it, lambda rows: _near(rows, threshold))
-        sent = _sent(met_in, signatures.select("id", F.struct("size", "sig").alias("load")))
-        pairs = compacted(sent.mapInArrow(near, "a long, b long").distinct())
-        found = compacted(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), again), 20_000)
-        more = compared(pairs, found).where(F.col("likeness") >= threshold).select("a", "b")
-    return edges.union(compacted(more)), again
-
-
-def _met(tagged: DataFrame, least: int) -> DataFrame | None:
-    """Of groups (grp) with more than `least` nodes in several parts: rows (grp, id, part, label, own, x, y), one for
-    each meeting of blocks x and y that a node, of block own, takes part in; None if there are no such groups.
-
-    tagged: (grp, id, part, label). Every two nodes of different parts of a group meet.
+        return stored(both.mapInPandas(compare, "a long, b long"))
+
+    edges = compared(told.where("likely").select("a", "b"), held)
+    labels = connected_components(edges)
+    of = lambda c: labels.toDF(c, f"l{c}")
+    unlike = F.coalesce("la", "a") != F.coalesce("lb", "b")
+    apart = told.join(of("a"), "a", "left").join(of("b"), "b", "left").where(unlike).select("a", "b")
+    mixed = met.withColumns({"a": low, "b": high}).join(apart, ["a", "b"]).select("key").distinct()
+    nodes = met.join(stored(mixed), "key").select("key", F.explode(F.array("hub", "id")).alias("id")).distinct()
+    tagged = nodes.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    meetings = _meetings_of(tagged)
+    if meetings is None:
+        return labels
+    near = lambda it: _by_meeting(it, threshold)
+    sent = signatures(meetings, held).select(F.xxhash64("key", "x", "y").alias("meeting"), "id", "part", "x", "y", "own", "size", "sig")
+    sent = sent.repartition("meeting").sortWithinPartitions("meeting", "own", "id")
+    likely = stored(sent.mapInArrow(near, "a long, b long").distinct().join(told, ["a", "b"], "left_anti"))
+    if not likely.limit(1).count():
+        return labels
+    wanted = ends(likely).join(held.select("id"), "id", "left_anti")
+    more = compared(likely, held.unionByName(stored(texts(wanted))))
+    if not more.limit(1).count():
+        return labels
+    forget(met)
+    over = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    top = connected_components(over)
+    single = top.join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
+    top = top.toDF("component", "top")
+    return labels.unionByName(single).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
+def _meetings_of(tagged: DataFrame) -> DataFrame | None:
+    """Of keys with three nodes or more in several parts: rows (key, id, part, own, x, y), one for each meeting of blocks
+    x and y that a node, of block own, takes part in; None if there are no such keys.
+
+    tagged: (key, id, part). Every two nodes of different parts of a key meet. Nodes of a key's largest part do not meet
+    each other.
     """
-    several = tagged.groupBy("grp").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("nodes"))
-    several = several.where(f"lo <> hi and nodes > {least}")
-    left = compacted(tagged.join(several.select("grp"), "grp"))
-    if not left.limit(1).count():
+    tagged = stored(tagged)
+    several = tagged.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("nodes"))
+    several = stored(several.where("lo <> hi and nodes > 2").select("key"))
+    if not several.limit(1).count():
         return None
-    sizes = left.groupBy("grp", "part").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("grp").agg(F.max(F.struct("n", "part"))["part"].alias("major"), F.sum("n").alias("nodes"), F.max("n").alias("most"))
+    left = stored(tagged.join(several, "key"))
+    sizes = left.groupBy("key", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("major"), F.sum("n").alias("nodes"), F.max("n").alias("most"))
     one = F.col("nodes") <= BLOCK
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     largest = largest.select(
-        "grp", F.when(~one, F.col("major")).alias("major"), F.when(one, 1).otherwise(blocks(F.col("nodes") - F.col("most"))).alias("minors"),
+        "key", F.when(~one, F.col("major")).alias("major"), F.when(one, 1).otherwise(blocks(F.col("nodes") - F.col("most"))).alias("minors"),
         F.when(one, 0).otherwise(blocks(F.col("most"))).alias("majors"),
     )
     # Blocks of other nodes are numbered from 0, those of the largest part from -1 downwards. A small group is one block.
@@ -191,26 +190,21 @@ def _met(tagged: DataFrame, least: int) -> DataFrame | None:
             F.expr("if(majors = 0, array(), transform(sequence(1, majors), m -> struct(own as x, -m as y)))"),
         )
     )
-    return left.join(largest, "grp").withColumn("own", own).select("grp", "id", "part", "label", "own", F.inline(meets))
-
+    return left.join(stored(largest), "key").withColumn("own", own).select("key", "id", "part", "own", F.inline(meets))
 
-def _sent(met_in: DataFrame, loads: DataFrame) -> DataFrame:
-    """Rows of _met in order of their meeting, each with its node's load."""
-    sent = met_in.join(loads, "id").select(F.xxhash64("grp", "x", "y").alias("meeting"), "id", "part", "label", "x", "y", "own", "load")
-    return sent.repartition("meeting").sortWithinPartitions("meeting", "own", "id")
 
-
-def _meetings(batches: Iterator[pa.RecordBatch], compare: Callable[[list[list[tuple]]], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
-    """Pairs that compare tells of whole meetings, for rows in order of their meeting. The last meeting waits for the next batch."""
+def _by_meeting(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different parts that may be links by their signatures, for rows in order of their meeting. The last
+    meeting of a batch waits for the next one."""
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         cuts = [0, *(k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]), len(rows)]
-        out = compare([rows[a:b] for a, b in zip(cuts, cuts[1:])])
+        out = dict.fromkeys(pair for a, b in zip(cuts, cuts[1:]) for pair in _near(rows[a:b], threshold))
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     for batch in slices(batches):
-        held += zip(*[batch.column(c).to_pylist() for c in ("meeting", "id", "part", "label", "x", "y", "own", "load")], strict=True)
+        held += zip(*[batch.column(c).to_pylist() for c in ("meeting", "id", "part", "x", "y", "own", "size", "sig")], strict=True)
         cut = len(held)
         while cut and held[cut - 1][0] == held[-1][0]:
             cut -= 1
@@ -221,67 +215,19 @@ def _meetings(batches: Iterator[pa.RecordBatch], compare: Callable[[list[list[tu
         yield solve(held)
 
 
-def _partners(rows: list[tuple], size: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For a meeting's rows of the one block those of the other that are of another part and of a size that may be alike."""
-    part, own = np.array([r[2] for r in rows]), np.array([r[6] for r in rows])
-    x, y = rows[0][4], rows[0][5]
-    second = np.flatnonzero(own == y)
-    for i in np.flatnonzero(own == x).tolist():
+def _near(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Pairs (least id, other id) of one meeting, from its two blocks, that may be links by their signatures."""
+    _, ids, part, x, y, own, size, sig = (np.array(c) if k < 7 else c for k, c in enumerate(zip(*rows, strict=True)))
+    sig = np.frombuffer(b"".join(sig), dtype="<u2").reshape(len(rows), -1)
+    second = np.flatnonzero(own == y[0])
+    out = []
+    for i in np.flatnonzero(own == x[0]).tolist():
         js = second[part[second] != part[i]]
-        if x == y:
+        if x[0] == y[0]:
             js = js[js > i]
         js = js[np.minimum(size[js], size[i]) >= threshold * np.maximum(size[js], size[i]) - 1e-9]
         if len(js):
-            yield i, js
-
-
-def _alike(sig: np.ndarray, size: np.ndarray, i: int, js: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Those of js whose estimated likeness to i may reach the threshold, and the estimates."""
-    guess = estimate((sig[js] == sig[i]).mean(axis=1), np.full(len(js), size[i]), size[js], sig.shape[1])
-    near = guess >= least_estimate(threshold, np.minimum(size[js], size[i]), sig.shape[1])
-    return js[near], guess[near]
-
-
-def _near(meetings: list[list[tuple]], threshold: float) -> list[tuple[int, int]]:
-    """Pairs (id, id) of different parts that may be links by their signatures."""
-    out: list[tuple[int, int]] = []
-    for rows in meetings:
-        size = np.array([r[7]["size"] for r in rows])
-        sig = np.frombuffer(b"".join(r[7]["sig"] for r in rows), dtype="<u2").reshape(len(rows), -1)
-        for i, js in _partners(rows, size, threshold):
-            js, _ = _alike(sig, size, i, js, threshold)
-            out += [(min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])) for j in js.tolist()]
-    return list(dict.fromkeys(out))
-
-
-def _compare(meetings: list[list[tuple]], sets: Callable[[list[str]], list[np.ndarray]], threshold: float) -> list[tuple[int, int]]:
-    """Links (id, id) between parts, as many as join their components: likely pairs are compared exactly, in order of the estimate."""
-    texts = list(dict.fromkeys(r[7] for rows in meetings for r in rows))
-    of = dict(zip(texts, sets(texts), strict=True))
-    out: list[tuple[int, int]] = []
-    for rows in meetings:
-        members = [of[r[7]] for r in rows]
-        size = np.array([len(s) for s in members])
-        near = list(_partners(rows, size, threshold))
-        pairs: list[tuple[float, int, int]] = []
-        sig = sketches(members, REGISTERS) if sum(len(js) for _, js in near) > 512 else None
-        for i, js in near:
-            guess = np.zeros(len(js))
-            if sig is not None:
-                js, guess = _alike(sig, size, i, js, threshold)
-            pairs += zip(guess.tolist(), [i] * len(js), js.tolist(), strict=True)
-        root: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while root.get(v, v) != v:
-                v = root[v]
-            return v
-
-        for _, i, j in sorted(pairs, reverse=True):
-            p, q = find(rows[i][3]), find(rows[j][3])
-            if p != q:
-                common = overlap(members[i], members[j])
-                if common >= threshold * (size[i] + size[j] - common) - 1e-9:
-                    root[max(p, q)] = min(p, q)
-                    out.append((rows[i][1], rows[j][1]))
+            guess = estimate((sig[js] == sig[i]).mean(axis=1), np.full(len(js), size[i]), size[js], sig.shape[1])
+            js = js[guess >= least_estimate(threshold, np.minimum(size[js], size[i]), sig.shape[1])]
+            out += [(min(ids[i], j), max(ids[i], j)) for j in ids[js].tolist()]
     return out

@@ -61,13 +61,14 @@ def sketches(sets: list[np.ndarray], registers: int) -> np.ndarray:
     return borrowed(np.where(full, packed, 0xFFFF).astype(np.uint16), full)
 
 
-def bands(regs: np.ndarray, number: int, width: int) -> np.ndarray:
-    """For each sketch `number` keys: 58 bits hashed from `width` registers, then the band's own number in 6 bits."""
+def bands(regs: np.ndarray, number: int, width: int, first: int = 0) -> np.ndarray:
+    """For each sketch `number` keys: 58 bits hashed from `width` registers, then the band's own number, from `first`, in
+    6 bits."""
     parts = regs[:, : number * width].reshape(len(regs), number, width).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, number + 1, dtype=np.uint64), (len(regs), number))
     for k in range(width):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
-    return (key & ~np.uint64(63) | np.arange(number, dtype=np.uint64)).astype(np.int64)
+    return (key & ~np.uint64(63) | np.arange(first, first + number, dtype=np.uint64)).astype(np.int64)
 
 
 def collision_rate(n_a: float, n_b: float, registers: int) -> float:

@@ -3,27 +3,52 @@ import pyarrow as pa
 import pytest
 
 from docloom.llm import links
+from docloom.llm.registers import sketches
 
 
-@pytest.mark.parametrize("batch", [1, 3, 50, 10_000])
-def test_buckets_do_not_depend_on_batches(batch, monkeypatch):
-    monkeypatch.setattr(links, "LONG_RUN", 40)
+def tree(rows):
+    """The components of spokes (hub, id)."""
+    root = {}
+
+    def find(v):
+        while root.get(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in rows:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {v: find(v) for row in rows for v in row}
+
+
+@pytest.mark.parametrize("size, batch", [(1, 1), (7, 3), (100, 50), (2000, 10_000)])
+def test_buckets_join_all_ids_of_a_key(size, batch, monkeypatch):
+    monkeypatch.setattr(links, "SLOTS", 64)
     rng = np.random.default_rng(0)
-    key = np.concatenate((np.repeat(64 * np.arange(100), rng.integers(1, 6, 100)), np.full(500, 64 * 200), np.full(300, 64 * 300 + 1), [64 * 400]))
-    ids = rng.integers(0, 900, len(key))
-    ids[key == 64 * 300 + 1] = 5
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + batch]), pa.array(ids[a : a + batch])], names=["key", "id"]) for a in range(0, len(key), batch)]
-    got = [tuple(r.values()) for b in links._buckets(iter(batches)) for r in b.to_pylist()]
-    want = []
-    for k in np.unique(key).tolist():
-        own = sorted(set(ids[key == k].tolist()))
-        if len(own) > 1:
-            want += [(k, i, min(len(own), links.SMALL + 1)) for i in own]
-    assert sorted(g for g in got if g[2]) == sorted(want)
-    twice = {i for k in np.unique(key).tolist() if k % 64 == 0 for i in ids[key == k].tolist() if (ids[key == k] == i).sum() > 1}
-    assert {g[1] for g in got if not g[2]} == twice
+    keys = rng.integers(0, 400, (2000, 3)) << 6 | np.arange(3)
+    keys[::3, 0] = 999 << 6
+    ids = rng.integers(0, 900, 2000)
+    met = [tuple(r.values()) for k in range(2) for b in links.local_hubs(iter([(keys[a : a + size], ids[a : a + size]) for a in range(k * 1000, k * 1000 + 1000, size)])) for r in b.to_pylist()]
+    met.sort(key=lambda r: r[1:])
+    table = np.array(met)
+    batches = [pa.RecordBatch.from_arrays([pa.array(table[a : a + batch, c]) for c in range(4)], names=["deal", "key", "id", "hub"]) for a in range(0, len(table), batch)]
+    got = {}
+    for b in links._buckets(iter(batches)):
+        for r in b.to_pylist():
+            got.setdefault(r["key"], []).append((r["hub"], r["id"]))
+    want = {}
+    for row, i in zip(keys.tolist(), ids.tolist(), strict=True):
+        for k in row:
+            want.setdefault(k, set()).add(i)
+    assert set(got) == {k for k, own in want.items() if len(own) > 1}
+    for k, rows in got.items():
+        assert tree(rows) == dict.fromkeys(want[k], min(want[k]))
+
+
+def test_hot_key_goes_on_once_a_task():
+    signed = [(np.full((1000, 1), 64), np.arange(1000) + 1000 * k) for k in range(30)]
+    rows = [r for b in links.local_hubs(iter(signed)) for r in b.to_pylist()]
+    assert sum(r["id"] == r["hub"] for r in rows) == 1 and len(rows) == 30_000
+    assert len({r["deal"] for r in rows}) == 30_000
 
 
 def family(others):
@@ -34,23 +59,26 @@ def family(others):
     return {i: np.sort(s).astype(np.uint64) for i, s in out.items()}
 
 
-@pytest.mark.parametrize("others, signed", [(0, False), (5, False), (600, False), (5, True), (600, True)])
-def test_pair_whose_hub_is_unlike_both(spark, others, signed):
+@pytest.mark.parametrize("others, guessed", [(0, False), (5, False), (600, False), (5, True), (600, True)])
+def test_pair_whose_hub_is_unlike_both(spark, others, guessed):
     members = family(others)
-    planted = (others + 1, others + 2)
-    keyed = spark.createDataFrame([(64, i) for i in members] + [(129, i) for i in (0, *planted)], "key long, id long")
+    planted = [others + 1, others + 2]
+    rows = [(64, i) for i in members] + [(129, i) for i in (0, *planted)]
+    keyed = spark.createDataFrame(rows, "key long, id long").selectExpr("xxhash64(key, id) deal", "key", "id", "0L hub")
+    keyed = keyed.selectExpr("if(id = 0, key, deal) deal", "key", "id", "hub")
 
-    def sets(texts):
-        return [members[int(t)] for t in texts]
+    def alike(left, right):
+        out = []
+        for a, b in zip(left, right, strict=True):
+            s, t = set(members[int(a)].tolist()), set(members[int(b)].tolist())
+            out.append(len(s & t) >= 0.8 * len(s | t))
+        return np.array(out, dtype=bool)
 
-    def texts(ids, again):
+    def texts(ids):
         return ids.selectExpr("id", "cast(id as string) text")
 
-    extra = {}
-    if signed:
-        sig = links.sketches(list(members.values()), links.REGISTERS)
-        rows = [(i, 100, r.astype("<u2").tobytes()) for i, r in zip(members, sig, strict=True)]
-        extra["signatures"] = spark.createDataFrame(rows, "id long, size long, sig binary")
-        extra["guess"] = lambda pairs: pairs.selectExpr("a", "b", "0D guess", "false likely")
-    edges, _ = links.links(keyed, texts, sets, 0.8, **extra)
-    assert {tuple(sorted(r)) for r in edges.collect()} == {planted}
+    sig = sketches(list(members.values()), 256)
+    sized = spark.createDataFrame([(i, 100, r.astype("<u2").tobytes()) for i, r in zip(members, sig, strict=True)], "id long, size long, sig binary")
+    guess = (lambda pairs: pairs.selectExpr("a", "b", "false likely")) if guessed else None
+    out = links.links(keyed, texts, alike, lambda some, held: some.join(sized, "id"), 0.8, guess)
+    assert {(r.id, r.component) for r in out.collect()} == {(i, planted[0]) for i in planted}
