@@ -55,12 +55,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def compacted(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A checkpoint of df read in partitions of about `rows` rows, so that small tables do not leave hundreds of small files."""
-    df = checkpointed(df)
-    return df.coalesce(max(1, -(-df.count() // rows)))
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written to a table of its own in the shared folder and read again.
 
