@@ -55,7 +55,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df written to a table of its own in the shared folder and read again.
 
     Like a checkpoint this cuts the lineage and survives lost executors, but columns are compressed, small files are
@@ -64,7 +64,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     files, where = _files(spark, path)
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
