@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components
-from docloom.llm.hashing import mix, slices, tidied
+from docloom.llm.hashing import slices, tidied
 from docloom.llm.registers import estimate, least_estimate
 from docloom.session import forget, stored
 
 BLOCK = 256
+#: Likely partners that a node of a meeting names in one round, the likeliest first; the last is all of a block.
+ROUNDS = (2, 32, BLOCK)
 #: Keys whose hubs a task remembers, and ids that it knows to have sent.
 SLOTS = 1 << 18
 #: Rows of one 64-bit number that are broadcast: two megabytes.
 FEW = 250_000
 
-SIGNED = "deal long, key long, id long, hub long"
+SIGNED = "key long, id long, hub long"
 
 
 def bounded_broadcast(df: DataFrame, most: int = FEW) -> DataFrame:
@@ -39,8 +41,7 @@ def local_hubs(signed: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.R
     """Rows of SIGNED from (keys, ids): a row of keys for each id.
 
     The first id that a task sees under a key is the key's hub there. It goes on to where the key's hubs from all tasks
-    meet (hub = id, dealt by key); other ids of the key are its spokes already (hub is the other id), and are dealt by
-    a hash. So a key that a third of all rows share sends little more than one row a task to one place.
+    meet (hub = id); other ids of the key are its spokes already (hub is the other id), and can go anywhere. So a key that a third of all rows share sends little more than one row a task to one place.
     """
     key_at, hub_at, used = np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=bool)
     for keys, ids in signed:
@@ -62,9 +63,7 @@ def local_hubs(signed: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.R
         hub_at[slot] = hub[head]
         out = (ids != hub) | (begins & ~known[run])
         key, ids, hub = key[out], ids[out], hub[out]
-        spread = mix(key.astype(np.uint64) ^ mix(ids.astype(np.uint64))).astype(np.int64)
-        arrays = [pa.array(np.where(ids == hub, key, spread)), pa.array(key), pa.array(ids), pa.array(hub)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["deal", "key", "id", "hub"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(hub)], names=["key", "id", "hub"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +109,12 @@ def links(
     A bucket first gives each of its nodes' pair with a hub: as many pairs as rows, however large it is. What is linked
     forms components. Where a bucket of three nodes or more still has nodes of several components, these meet block
     against block: no task gets more than two blocks of BLOCK nodes at a time, nodes are compared by their signatures,
-    and only likely pairs' texts are fetched and compared exactly. So no two nodes that share a band are left out,
-    whatever their hubs are. Links within a component could not change the result.
+    and only likely pairs' texts are fetched and compared exactly. A node first names its likeliest partners; those of
+    other components that are left are named in later rounds (ROUNDS), the last of which leaves none out. So all nodes
+    that share a band and may be alike are compared until they are in one component, whatever their hubs are.
     """
-    dealt = signed.repartition("deal").sortWithinPartitions("key", "id")
-    met = stored(dealt.mapInArrow(_buckets, "key long, hub long, id long"))
+    deal = F.when(F.col("id") == F.col("hub"), F.col("key")).otherwise(F.xxhash64("key", "id"))
+    met = stored(signed.repartition(deal).sortWithinPartitions("key", "id").mapInArrow(_buckets, "key long, hub long, id long"))
     low, high = F.least("hub", "id"), F.greatest("hub", "id")
     pairs = met.select(low.alias("a"), high.alias("b")).distinct()
     told = stored(guess(pairs) if guess else pairs.withColumn("likely", F.lit(True)))
@@ -127,37 +127,51 @@ def links(
                 p = batch.iloc[at : at + 1_000]
                 yield p.loc[alike(p.text_a.tolist(), p.text_b.tolist()), ["a", "b"]]
 
-    def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         both = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
         return stored(both.mapInPandas(compare, "a long, b long"))
 
-    edges = compared(told.where("likely").select("a", "b"), held)
-    labels = connected_components(edges)
+    labels = connected_components(compared(told.where("likely").select("a", "b")))
+    told = told.select("a", "b")
+    mixed = met.withColumns({"a": low, "b": high}).join(_apart(told, labels), ["a", "b"]).select("key").distinct()
+    nodes = stored(met.join(stored(mixed), "key").select("key", F.explode(F.array("hub", "id")).alias("id")).distinct())
+    forget(met)
+    for most in ROUNDS:
+        meetings = _meetings_of(nodes.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")))
+        if meetings is None:
+            break
+        near = lambda it: _by_meeting(it, threshold, most)  # noqa: E731, B023
+        sent = signatures(meetings, held).select(F.xxhash64("key", "x", "y").alias("meeting"), "id", "part", "x", "y", "own", "size", "sig")
+        sent = sent.repartition("meeting").sortWithinPartitions("meeting", "own", "id")
+        named = sent.mapInArrow(near, "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+        named = stored(named)
+        likely = stored(named.select("a", "b").join(told, ["a", "b"], "left_anti"))
+        if likely.limit(1).count():
+            held = held.unionByName(stored(texts(ends(likely).join(held.select("id"), "id", "left_anti"))))
+            labels = _joined(labels, compared(likely))
+            told = told.unionByName(likely)
+        if not named.where("more").limit(1).count():
+            break
+    return labels
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are in different components."""
     of = lambda c: labels.toDF(c, f"l{c}")
-    unlike = F.coalesce("la", "a") != F.coalesce("lb", "b")
-    apart = told.join(of("a"), "a", "left").join(of("b"), "b", "left").where(unlike).select("a", "b")
-    mixed = met.withColumns({"a": low, "b": high}).join(apart, ["a", "b"]).select("key").distinct()
-    nodes = met.join(stored(mixed), "key").select("key", F.explode(F.array("hub", "id")).alias("id")).distinct()
-    tagged = nodes.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    meetings = _meetings_of(tagged)
-    if meetings is None:
-        return labels
-    near = lambda it: _by_meeting(it, threshold)
-    sent = signatures(meetings, held).select(F.xxhash64("key", "x", "y").alias("meeting"), "id", "part", "x", "y", "own", "size", "sig")
-    sent = sent.repartition("meeting").sortWithinPartitions("meeting", "own", "id")
-    likely = stored(sent.mapInArrow(near, "a long, b long").distinct().join(told, ["a", "b"], "left_anti"))
-    if not likely.limit(1).count():
-        return labels
-    wanted = ends(likely).join(held.select("id"), "id", "left_anti")
-    more = compared(likely, held.unionByName(stored(texts(wanted))))
-    if not more.limit(1).count():
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (id, component) after further edges (a, b)."""
+    if not edges.limit(1).count():
         return labels
-    forget(met)
-    over = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    top = connected_components(over)
+    of = lambda c: labels.toDF(c, f"l{c}")
+    over = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    top = connected_components(over.where("a <> b"))
     single = top.join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
-    top = top.toDF("component", "top")
-    return labels.unionByName(single).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    out = labels.unionByName(single).join(top.toDF("component", "top"), "component", "left")
+    return stored(out.select("id", F.coalesce("top", "component").alias("component")))
 
 
 def _meetings_of(tagged: DataFrame) -> DataFrame | None:
@@ -193,15 +207,16 @@ def _meetings_of(tagged: DataFrame) -> DataFrame | None:
     return left.join(stored(largest), "key").withColumn("own", own).select("key", "id", "part", "own", F.inline(meets))
 
 
-def _by_meeting(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different parts that may be links by their signatures, for rows in order of their meeting. The last
-    meeting of a batch waits for the next one."""
+def _by_meeting(batches: Iterator[pa.RecordBatch], threshold: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different parts that may be links by their signatures, for rows in order of their meeting, and
+    whether a node of the pair has more of them. The last meeting of a batch waits for the next one."""
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         cuts = [0, *(k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]), len(rows)]
-        out = dict.fromkeys(pair for a, b in zip(cuts, cuts[1:]) for pair in _near(rows[a:b], threshold))
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+        out = [pair for a, b in zip(cuts, cuts[1:]) for pair in _near(rows[a:b], threshold, most)]
+        a, b, more = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
 
     for batch in slices(batches):
         held += zip(*[batch.column(c).to_pylist() for c in ("meeting", "id", "part", "x", "y", "own", "size", "sig")], strict=True)
@@ -215,19 +230,22 @@ def _by_meeting(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
         yield solve(held)
 
 
-def _near(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
-    """Pairs (least id, other id) of one meeting, from its two blocks, that may be links by their signatures."""
+def _near(rows: list[tuple], threshold: float, most: int) -> list[tuple[int, int, bool]]:
+    """(least id, other id, more) of one meeting's two blocks: for each node the `most` likeliest nodes of the other block
+    that are of another part and may be links; more says that there are others."""
     _, ids, part, x, y, own, size, sig = (np.array(c) if k < 7 else c for k, c in enumerate(zip(*rows, strict=True)))
     sig = np.frombuffer(b"".join(sig), dtype="<u2").reshape(len(rows), -1)
-    second = np.flatnonzero(own == y[0])
-    out = []
-    for i in np.flatnonzero(own == x[0]).tolist():
-        js = second[part[second] != part[i]]
-        if x[0] == y[0]:
-            js = js[js > i]
+    first, second = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
+    out = {}
+    for i in np.union1d(first, second).tolist():
+        js = second if own[i] == x[0] else first
+        js = js[part[js] != part[i]]
         js = js[np.minimum(size[js], size[i]) >= threshold * np.maximum(size[js], size[i]) - 1e-9]
         if len(js):
             guess = estimate((sig[js] == sig[i]).mean(axis=1), np.full(len(js), size[i]), size[js], sig.shape[1])
-            js = js[guess >= least_estimate(threshold, np.minimum(size[js], size[i]), sig.shape[1])]
-            out += [(min(ids[i], j), max(ids[i], j)) for j in ids[js].tolist()]
-    return out
+            near = guess >= least_estimate(threshold, np.minimum(size[js], size[i]), sig.shape[1])
+            js, guess = js[near], guess[near]
+            for j in js[np.lexsort((ids[js], -guess))[:most]].tolist():
+                pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
+                out[pair] = out.get(pair, False) or len(js) > most
+    return [(a, b, more) for (a, b), more in out.items()]

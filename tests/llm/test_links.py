@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 
 from docloom.llm import links
+from docloom.llm.hashing import mix
 from docloom.llm.registers import sketches
 
 
@@ -28,9 +29,9 @@ def test_buckets_join_all_ids_of_a_key(size, batch, monkeypatch):
     keys[::3, 0] = 999 << 6
     ids = rng.integers(0, 900, 2000)
     met = [tuple(r.values()) for k in range(2) for b in links.local_hubs(iter([(keys[a : a + size], ids[a : a + size]) for a in range(k * 1000, k * 1000 + 1000, size)])) for r in b.to_pylist()]
-    met.sort(key=lambda r: r[1:])
+    met.sort()
     table = np.array(met)
-    batches = [pa.RecordBatch.from_arrays([pa.array(table[a : a + batch, c]) for c in range(4)], names=["deal", "key", "id", "hub"]) for a in range(0, len(table), batch)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(table[a : a + batch, c]) for c in range(3)], names=["key", "id", "hub"]) for a in range(0, len(table), batch)]
     got = {}
     for b in links._buckets(iter(batches)):
         for r in b.to_pylist():
@@ -48,7 +49,6 @@ def test_hot_key_goes_on_once_a_task():
     signed = [(np.full((1000, 1), 64), np.arange(1000) + 1000 * k) for k in range(30)]
     rows = [r for b in links.local_hubs(iter(signed)) for r in b.to_pylist()]
     assert sum(r["id"] == r["hub"] for r in rows) == 1 and len(rows) == 30_000
-    assert len({r["deal"] for r in rows}) == 30_000
 
 
 def family(others):
@@ -64,8 +64,7 @@ def test_pair_whose_hub_is_unlike_both(spark, others, guessed):
     members = family(others)
     planted = [others + 1, others + 2]
     rows = [(64, i) for i in members] + [(129, i) for i in (0, *planted)]
-    keyed = spark.createDataFrame(rows, "key long, id long").selectExpr("xxhash64(key, id) deal", "key", "id", "0L hub")
-    keyed = keyed.selectExpr("if(id = 0, key, deal) deal", "key", "id", "hub")
+    keyed = spark.createDataFrame(rows, "key long, id long").selectExpr("key", "id", "0L hub")
 
     def alike(left, right):
         out = []
@@ -82,3 +81,11 @@ def test_pair_whose_hub_is_unlike_both(spark, others, guessed):
     guess = (lambda pairs: pairs.selectExpr("a", "b", "false likely")) if guessed else None
     out = links.links(keyed, texts, alike, lambda some, held: some.join(sized, "id"), 0.8, guess)
     assert {(r.id, r.component) for r in out.collect()} == {(i, planted[0]) for i in planted}
+
+
+def test_many_alike_nodes_name_few_partners_at_first():
+    members = [mix(np.random.default_rng(i).permutation(1000)[:930].astype(np.uint64)) for i in range(60)]
+    sig = [r.astype("<u2").tobytes() for r in sketches(members, 256)]
+    rows = [(1, i, i, 0, 0, 0, 930, s) for i, s in enumerate(sig)]
+    few, all_ = links._near(rows, 0.8, 2), links._near(rows, 0.8, 256)
+    assert len(few) <= 120 and all(more for _, _, more in few) and len(all_) > 1700 and not any(more for _, _, more in all_)
