@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.hashing import BYTE, chunks, mix, prefix_sums, range_hashes, slices, small_batches, tidied
+from docloom.llm.hashing import BYTE, chunks, mix, prefix_sums, range_hashes, slices, tidied
 from docloom.llm.links import bounded_broadcast
-from docloom.session import checkpointed, table
+from docloom.session import forget, release, stored, table
 
 LENGTH, GRAM = 400, 100
 SHALLOW = 64
@@ -64,37 +65,40 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in column.to_pylist()]
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, id, place): place packs position, least and greatest offset."""
-    for batch in slices(batches):
-        texts, ids = _raw(batch.column("text")), np.asarray(batch.column("id"))
-        for a, b in chunks(texts):
-            buf = np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8)
-            text, position, h, lo, hi = anchors(np.array([len(t) for t in texts[a:b]], dtype=np.int64), buf, length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids[a:b][text]), pa.array(position << 20 | lo << 10 | hi)], names=["gram", "id", "place"])
+def _digests(buf: bytes, starts: np.ndarray, stops: np.ndarray, seeds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """128 bits of each range's bytes, in two columns."""
+    raw = b"".join(xxhash.xxh3_128_digest(buf[s:e], k) for s, e, k in zip(starts.tolist(), stops.tolist(), seeds.tolist(), strict=True))
+    both = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, with_bytes: bool) -> Iterator[pa.RecordBatch]:
-    """For every place of a text its context: all bytes of the anchor's strings. Rows (gram, id, place, context[, bytes])."""
+def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, i1, i2, place, c1, c2) for each anchor of texts (i1, i2, text).
+
+    place packs position, least and greatest offset; c1 and c2 name the anchor's context, all bytes of its strings.
+    """
     for batch in slices(batches):
-        texts, ids = _raw(batch.column("text")), batch.column("id").to_pylist()
-        places, grams = batch.column("places").to_pylist(), batch.column("grams").to_pylist()
+        texts = _raw(batch.column("text"))
         for a, b in chunks(texts):
-            counts = [len(p) for p in places[a:b]]
-            place = np.array([x for p in places[a:b] for x in p], dtype=np.int64)
-            gram = np.array([x for p in grams[a:b] for x in p], dtype=np.int64)
-            begins = np.cumsum([0] + [len(t) for t in texts[a:b]])[:-1]
-            at = np.repeat(begins, counts) + (place >> 20)
-            lo, hi = place >> 10 & 1023, place & 1023
-            buf = b"".join(texts[a:b])
-            starts, stops = at - hi, at - lo + length
-            h = range_hashes(*prefix_sums(BYTE[np.frombuffer(buf, dtype=np.uint8)]), starts, stops)
-            arrays = [pa.array(gram), pa.array(np.repeat(np.array(ids[a:b], dtype=np.int64), counts)), pa.array(place), pa.array(mix(h + hi.astype(np.uint64)).astype(np.int64))]
-            names = ["gram", "id", "place", "context"]
-            if with_bytes:
-                arrays.append(pa.array([buf[s:e] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)], pa.binary()))
-                names.append("bytes")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            sizes, raw = np.array([len(t) for t in texts[a:b]], dtype=np.int64), b"".join(texts[a:b])
+            text, position, h, lo, hi = anchors(sizes, np.frombuffer(raw, dtype=np.uint8), length, gram)
+            at = (np.cumsum(sizes) - sizes)[text] + position
+            context = _digests(raw, at - hi, at - lo + length, hi)
+            own = [batch.column(c).slice(a, b - a).take(pa.array(text)) for c in ("i1", "i2")]
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), *own, pa.array(position << 20 | lo << 10 | hi), *context], names=["gram", "i1", "i2", "place", "c1", "c2"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of contexts: rows (key, c1, c2, lo, hi, anchor, bytes) from texts with their `wanted` anchors."""
+    for batch in slices(batches, 200):
+        out: list[list] = [[] for _ in range(7)]
+        for raw, wanted in zip(_raw(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+            for w in wanted:
+                at, lo, hi = w["place"] >> 20, w["place"] >> 10 & 1023, w["place"] & 1023
+                for column, value in zip(out, (w["gram"], w["c1"], w["c2"], lo, hi, hi, raw[at - hi : at - lo + length]), strict=True):
+                    column.append(value)
+        arrays = [*[pa.array(c, pa.int64()) for c in out[:6]], pa.array(out[6], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "c1", "c2", "lo", "hi", "anchor", "bytes"])
 
 
 # --- deep-shallow sorting ----------------------------------------------------------------------------------------------
@@ -268,94 +272,86 @@ def merged(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of key; groups that go on in the next batch wait for it. Rows (context, lo, hi)."""
+    """Rows come in order of key; groups that go on in the next batch wait for it. Rows (c1, c2, lo, hi).
+
+    Keys are hashes, so the grams themselves are compared: rows of one key with different grams are different groups.
+    """
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        keys, context, low, high, anchor, raw = zip(*rows, strict=True)
-        found = repeated_offsets(*(np.array(x, dtype=np.int64) for x in (keys, low, high, anchor)), list(raw), length, gram)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([context[r] for r, _, _ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.int64())],
-            names=["context", "lo", "hi"],
-        )
+        keys, c1, c2, low, high, anchor, raw = zip(*rows, strict=True)
+        names: dict[tuple[int, bytes], int] = {}
+        groups = [names.setdefault((k, r[p : p + gram]), len(names)) for k, r, p in zip(keys, raw, anchor, strict=True)]
+        found = repeated_offsets(*(np.array(x, dtype=np.int64) for x in (groups, low, high, anchor)), list(raw), length, gram)
+        columns = ([c1[r] for r, _, _ in found], [c2[r] for r, _, _ in found], [x for _, x, _ in found], [x for _, _, x in found])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["c1", "c2", "lo", "hi"])
 
     for batch in tidied(batches):
-        held += zip(*[batch.column(c).to_pylist() for c in ("key", "context", "lo", "hi", "anchor", "bytes")], strict=True)
-        cut = len(held)
-        while cut and held[cut - 1][0] == held[-1][0]:
-            cut -= 1
-        if cut:
-            yield solve(held[:cut])
-            held = held[cut:]
+        for at in range(0, batch.num_rows, 4 * GROUP):
+            part = batch.slice(at, 4 * GROUP)
+            held += zip(*[part.column(c).to_pylist() for c in ("key", "c1", "c2", "lo", "hi", "anchor", "bytes")], strict=True)
+            cut = len(held)
+            while cut and held[cut - 1][0] == held[-1][0]:
+                cut -= 1
+            if cut:
+                yield solve(held[:cut])
+                held = held[cut:]
     if held:
         yield solve(held)
 
 
 # --- groups too large for one task -------------------------------------------------------------------------------------
 
+ROW = "key long, c1 long, c2 long, lo long, hi long, anchor long, bytes binary"
 
-def _halves(batches: Iterator[pa.RecordBatch], length: int, from_: int, to: int) -> Iterator[pa.RecordBatch]:
-    """Each context's strings in two halves of the offsets from_ to to.
+
+def _halves(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Each context's strings in two halves of its key's offsets, from_ to to.
 
     A half's new key is a hash of the bytes that all its strings share, so only rows with equal ones stay together;
-    `whole` is a hash of all its strings' bytes, with the offsets they stand for.
+    w1 and w2 name all its strings' bytes, with the offsets they stand for.
     """
-    middle = (from_ + to) // 2
-    for batch in batches:
-        key, context, low, high = (np.asarray(batch.column(c)) for c in ("key", "context", "lo", "hi"))
-        anchor, raw = np.asarray(batch.column("anchor")), batch.column("bytes").to_pylist()
-        begins = np.cumsum([0] + [len(r) for r in raw])[:-1]
-        sums = prefix_sums(BYTE[np.frombuffer(b"".join(raw), dtype=np.uint8)])
+    for batch in slices(batches):
+        key, c1, c2, low, high, anchor, from_, to = (np.asarray(batch.column(c)) for c in ("key", "c1", "c2", "lo", "hi", "anchor", "from_", "to"))
+        raw = batch.column("bytes").to_pylist()
+        buf, begins = b"".join(raw), np.cumsum([0] + [len(r) for r in raw])[:-1]
+        sums = prefix_sums(BYTE[np.frombuffer(buf, dtype=np.uint8)])
+        middle = (from_ + to) // 2
         for a, b in ((from_, middle), (middle + 1, to)):
             lo, hi = np.maximum(low, a), np.minimum(high, b)
             own = np.flatnonzero(lo <= hi)
-            at = (begins + anchor)[own]
+            at, lo, hi, a, b = (begins + anchor)[own], lo[own], hi[own], a[own], b[own]
             shared = range_hashes(*sums, at - a, at - b + length)
-            whole = range_hashes(*sums, at - hi[own], at - lo[own] + length)
-            new = mix(mix(key[own].astype(np.uint64)) + shared + np.uint64(a))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(new.astype(np.int64)), pa.array(context[own]), pa.array(lo[own]), pa.array(hi[own]), pa.array(anchor[own]),
-                    pa.array([raw[i] for i in own], pa.binary()), pa.array(mix(whole + (lo[own] << 10 | hi[own]).astype(np.uint64)).astype(np.int64)),
-                    pa.array(np.full(len(own), a, dtype=np.int64)), pa.array(np.full(len(own), b, dtype=np.int64)),
-                ],
-                names=["key", "context", "lo", "hi", "anchor", "bytes", "whole", "from_", "to"],
-            )
-
-
-def _split(rows: DataFrame, length: int, from_: int, to: int) -> tuple[DataFrame, DataFrame]:
-    """One level of splitting: the rows of both halves without those whose strings all stand elsewhere, and the answers for these."""
-    schema = "key long, context long, lo long, hi long, anchor long, bytes binary, whole long, from_ long, to long"
-    both = checkpointed(rows.mapInArrow(lambda it: _halves(it, length, from_, to), schema))
-    count = both.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min("context").alias("one"))
-    marked = both.join(count, ["key", "whole"])
-    answers = marked.where("n > 1").select("context", "lo", "hi")
-    return marked.where("context = one").drop("n", "one", "whole"), answers
+            whole = _digests(buf, at - hi, at - lo + length, lo << 10 | hi)
+            new = mix(mix(key[own].astype(np.uint64)) + shared + a.astype(np.uint64))
+            columns = (new.astype(np.int64), c1[own], c2[own], lo, hi, anchor[own])
+            arrays = [*[pa.array(c) for c in columns], pa.array([raw[i] for i in own], pa.binary()), *whole, pa.array(a), pa.array(b)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "c1", "c2", "lo", "hi", "anchor", "bytes", "w1", "w2", "from_", "to"])
 
 
 def _bounded_groups(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame | None]:
-    """rows (key, context, lo, hi, anchor, bytes) with no key of more than GROUP rows, and the answers found meanwhile."""
-    waiting, done, answers = [(rows, 0, length - gram)], [], []
-    while waiting:
-        part, from_, to = waiting.pop()
-        large = checkpointed(part.groupBy("key").count().where(F.col("count") > GROUP).select("key"))
-        if from_ == to or not large.limit(1).count():
-            done.append(part.select("key", "context", "lo", "hi", "anchor", "bytes"))
-            continue
-        done.append(part.join(large, "key", "left_anti").select("key", "context", "lo", "hi", "anchor", "bytes"))
-        halves, found = _split(part.join(large, "key", "left_semi"), length, from_, to)
-        halves = checkpointed(halves)
-        answers.append(checkpointed(found))
-        middle = (from_ + to) // 2
-        for a, b in ((from_, middle), (middle + 1, to)):
-            waiting.append((halves.where((F.col("from_") == a) & (F.col("to") == b)).drop("from_", "to"), a, b))
-    union = done[0]
-    for d in done[1:]:
-        union = union.unionByName(d)
-    found = None
-    for a in answers:
-        found = a if found is None else found.unionByName(a)
-    return union, found
+    """rows (ROW) with no key of more than GROUP rows, and the answers (c1, c2, lo, hi) found meanwhile.
+
+    All keys that are too large are split at once: each key's strings in two halves of its offsets, at most nine times.
+    Of rows whose strings of a half are all equal one goes on, and all of them are answered.
+    """
+    waiting = rows.withColumns({"from_": F.lit(0).cast("long"), "to": F.lit(length - gram).cast("long")})
+    groups, answers = None, None
+    while True:
+        large = waiting.groupBy("key").agg(F.count("*").alias("n"), F.first("from_").alias("from_"), F.first("to").alias("to"))
+        large = stored(large.where((F.col("n") > GROUP) & (F.col("from_") < F.col("to"))).select("key"))
+        none = not large.limit(1).count()
+        done = (waiting if none else waiting.join(large, "key", "left_anti")).select("key", "c1", "c2", "lo", "hi", "anchor", "bytes")
+        groups = done if groups is None else groups.unionByName(done)
+        if none:
+            return groups, answers
+        both = waiting.join(large, "key", "left_semi").mapInArrow(lambda it: _halves(it, length), ROW + ", w1 long, w2 long, from_ long, to long")
+        both = stored(both)
+        count = stored(both.groupBy("key", "w1", "w2").agg(F.count("*").alias("n"), F.first("c1").alias("one1"), F.first("c2").alias("one2")))
+        told = both.select("key", "w1", "w2", "c1", "c2", "lo", "hi").join(count.where("n > 1"), ["key", "w1", "w2"]).select("c1", "c2", "lo", "hi")
+        answers = told if answers is None else answers.unionByName(told)
+        on = (both.key == count.key) & (both.w1 == count.w1) & (both.w2 == count.w2) & (both.c1 == count.one1) & (both.c2 == count.one2)
+        waiting = both.join(count, on, "left_semi").drop("w1", "w2")
 
 
 # --- the operator ------------------------------------------------------------------------------------------------------
@@ -385,48 +381,43 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         )
 
 
+def text_ids(text: Column) -> tuple[Column, Column]:
+    """128 bits that name a text."""
+    return F.xxhash64(text).alias("i1"), F.xxhash64(F.lit(1), text).alias("i2")
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, spans) of every text with a string of `length` bytes that also starts anywhere else.
+    """(i1, i2, spans) of every text with a string of `length` bytes that also starts anywhere else.
 
-    texts: (id, text), an id for each different text; a text given twice repeats itself. spans: an array of
+    texts: (i1, i2, text), ids for each different text; a text given twice repeats itself. spans: an array of
     (start, stop) byte ranges, in no order and overlapping, that cover all such strings.
+
+    Anchors and their contexts' names are found in one pass. A context that occurs twice answers for all its
+    strings. Of anchors with one gram but different contexts the bytes of each context are fetched once, and sorted.
     """
     some = texts.where(F.octet_length("text") >= length)
-    found = some.mapInArrow(lambda it: _anchored(it, length, gram), "gram long, id long, place long")
-    repeated = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    places = found.join(repeated, "gram").groupBy("id").agg(F.collect_list(F.struct("place", "gram")).alias("p"))
-    places = checkpointed(places.select("id", F.col("p.place").alias("places"), F.col("p.gram").alias("grams")))
-    held = some.join(bounded_broadcast(places.select("id").distinct()), "id", "left_semi")
-    schema = "gram long, id long, place long, context long"
-    light = checkpointed(held.join(places, "id").mapInArrow(lambda it: _contexts(it, length, False), schema))
-
-    counts = light.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("one"))
-    counts = checkpointed(counts)
-    mixed = counts.groupBy("gram").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select("gram")
-    ones = counts.join(mixed, "gram").select("gram", "one.id", "one.place").groupBy("id").agg(F.collect_list(F.struct("place", "gram")).alias("p"))
-    ones = checkpointed(ones.select("id", F.col("p.place").alias("places"), F.col("p.gram").alias("grams")))
-    few = some.join(bounded_broadcast(ones.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"])
-    heavy = few.join(ones, "id").mapInArrow(lambda it: _contexts(it, length, True), schema + ", bytes binary")
-    heavy = heavy.select(
-        F.col("gram").alias("key"),
-        "context",
-        F.expr("shiftright(place, 10) & 1023").alias("lo"),
-        F.expr("place & 1023").alias("hi"),
-        F.expr("place & 1023").alias("anchor"),
-        "bytes",
-    )
-    groups, answers = _bounded_groups(checkpointed(heavy), length, gram)
-    schema = "context long, lo long, hi long"
-    ranges = groups.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _sorted_groups(it, length, gram), schema)
+    found = stored(some.mapInArrow(lambda it: _anchored(it, length, gram), "gram long, i1 long, i2 long, place long, c1 long, c2 long"))
+    context = ["gram", "c1", "c2"]
+    counts = stored(found.groupBy(*context).agg(F.count("*").alias("n")))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)]
+    mixed = stored(counts.groupBy("gram").agg(*ends).where("min_c1 <> max_c1 or min_c2 <> max_c2").select("gram"))
+    ones = found.join(stored(counts.join(mixed, "gram").select(*context)), context)
+    ones = ones.groupBy(*context).agg(*[F.first(c).alias(c) for c in ("i1", "i2", "place")])
+    ones = stored(ones.groupBy("i1", "i2").agg(F.collect_list(F.struct("place", *context)).alias("wanted")))
+    few = some.join(bounded_broadcast(ones.select("i1", "i2")), ["i1", "i2"], "left_semi").dropDuplicates(["i1", "i2"])
+    heavy = stored(few.join(ones, ["i1", "i2"]).select("text", "wanted").mapInArrow(lambda it: _contexts(it, length), ROW), codec="zstd")
+    groups, answers = _bounded_groups(heavy, length, gram)
+    ranges = groups.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _sorted_groups(it, length, gram), "c1 long, c2 long, lo long, hi long")
     if answers is not None:
         ranges = ranges.unionByName(answers)
-    ranges = checkpointed(ranges)
+    ranges = stored(ranges)
+    forget(heavy, ones)
 
-    begin, offsets = F.expr("shiftright(place, 20)"), (F.expr("shiftright(place, 10) & 1023"), F.expr("place & 1023"))
-    copied = light.join(counts.where("n > 1").select("gram", "context"), ["gram", "context"]).select("id", begin.alias("at"), offsets[0].alias("lo"), offsets[1].alias("hi"))
-    partly = light.join(ranges, "context").select("id", begin.alias("at"), "lo", "hi")
-    spans = copied.unionByName(partly).select("id", F.struct((F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("stop")).alias("span"))
-    return spans.groupBy("id").agg(F.collect_set("span").alias("spans"))
+    begin, low, high = F.expr("shiftright(place, 20)"), F.expr("shiftright(place, 10) & 1023"), F.expr("place & 1023")
+    copied = found.join(counts.where("n > 1").select(*context), context).select("i1", "i2", begin.alias("at"), low.alias("lo"), high.alias("hi"))
+    partly = found.join(ranges, ["c1", "c2"]).select("i1", "i2", begin.alias("at"), "lo", "hi")
+    span = F.struct((F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("stop"))
+    return copied.unionByName(partly).select("i1", "i2", span.alias("span")).groupBy("i1", "i2").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -435,25 +426,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     Texts are UTF-8 bytes, null is empty. Every byte that lies in a string of `length` bytes which also starts at any
     other place of any text, its own included, is removed, in all places; n_spans counts the maximal removed runs.
     Texts that occur twice or more are removed whole if they have `length` bytes; only one of them is searched.
-    Repeated rows are copies like others. Null ids are carried along. Other columns are ignored.
+    Repeated rows are copies like others. Null ids are carried along. Other columns are ignored. An empty table gives
+    no rows.
 
-    Different texts are told apart by SHA-256 when copies are counted, and by 64-bit hashes while they are searched.
+    Different texts, and different contexts of anchors, are told apart by 128 bits; all else by their bytes.
     """
-    small_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = base.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("id"))
-    rows = checkpointed(rows)
-    copies = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"), F.first("id").alias("id"), F.first("n_bytes").alias("size")).where("n > 1")
-    copies = checkpointed(copies)
-    extra = bounded_broadcast(copies.where("one is not null").select("id", "one"))
-    texts = base.select("doc_id", F.xxhash64("text").alias("id"), "text").join(extra, "id", "left")
-    texts = texts.where("one is null or doc_id is null or doc_id = one").select("id", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    size = F.octet_length("text").cast("long")
+    rows = stored(base.select("doc_id", F.sha2("text", 256).alias("sha"), size.alias("n_bytes"), *text_ids(F.col("text"))))
+    copies = rows.where(F.col("n_bytes") >= length).groupBy("i1", "i2").agg(F.count("*").alias("n"), F.min("doc_id").alias("one")).where("n > 1")
+    copies = stored(copies)
+    own = base.select("doc_id", *text_ids(F.col("text")), "text")
+    extra = bounded_broadcast(copies.where("one is not null").select("i1", "i2", "one"))
+    texts = own.join(extra, ["i1", "i2"], "left").where("one is null or doc_id is null or doc_id = one").select("i1", "i2", "text")
     spans = repeated_spans(texts, length, gram)
-    spans = checkpointed(spans.join(copies.select("id"), "id", "left_anti"))
-    changed = bounded_broadcast(spans.select("id"))
-    cut = base.withColumn("id", F.xxhash64("text")).join(changed, "id", "left_semi").join(spans, "id").select("doc_id", "text", "spans")
+    spans = stored(spans.join(copies.select("i1", "i2"), ["i1", "i2"], "left_anti"))
+    release(docs.sparkSession)
+    changed = bounded_broadcast(spans.select("i1", "i2"))
+    cut = own.join(changed, ["i1", "i2"], "left_semi").join(spans, ["i1", "i2"]).select("doc_id", "text", "spans")
     cut = cut.mapInArrow(lambda it: _cut(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    rest = rows.join(changed, "id", "left_anti").join(copies.select("sha", "n"), "sha", "left")
+    rest = rows.join(changed, ["i1", "i2"], "left_anti").join(copies.select("i1", "i2", "n"), ["i1", "i2"], "left")
     gone = F.col("n").isNotNull()
     rest = rest.select(
         "doc_id",
