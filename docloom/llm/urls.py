@@ -6,11 +6,12 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.decontaminate import LOWER, UPPER
-from docloom.session import checkpointed, table
+from docloom.session import table
 
 #: (verdict, host, path) of the query's rules. Fixed values.
 RULES = (
@@ -23,6 +24,8 @@ RULES = (
 
 #: At most so many labelled rows are brought to the driver to fit the trees.
 SAMPLE = 8_000
+#: A row's suffix statistics come from the other folds; a suffix counts as having PRIOR rows of the mean label besides.
+FOLDS, PRIOR = 5, 10.0
 
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "host_parts", "digit_ratio", "entropy", "n_params", "n_hyphens",
@@ -146,6 +149,50 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: f
     return model
 
 
+def suffix_statistics(rows: pd.DataFrame) -> pd.DataFrame:
+    """(share, blocked) by suffix: the share of rows, and the smoothed share of blocked ones."""
+    by = rows.groupby("suffix").y.agg(["size", "sum"])
+    mean = rows.y.mean() if len(rows) else 0.0
+    return pd.DataFrame({"share": by["size"] / max(len(rows), 1), "blocked": (by["sum"] + PRIOR * mean) / (by["size"] + PRIOR)})
+
+
+def fit(rows: pd.DataFrame) -> tuple[Trees, pd.DataFrame, float]:
+    """Trees for rows (y, suffix, fold, features), the statistics of suffixes, and the mean label.
+
+    For the fit a row's suffix is described by the other folds' rows, so that its own label is not among its features.
+    """
+    names = [f for f in FEATURES if not f.startswith("suffix_")]
+    share, blocked = np.zeros(len(rows)), np.zeros(len(rows))
+    for fold in range(FOLDS):
+        own, others = (rows.fold == fold).to_numpy(), rows[rows.fold != fold]
+        known = suffix_statistics(others)
+        share[own] = rows.suffix[own].map(known["share"]).fillna(0.0)
+        blocked[own] = rows.suffix[own].map(known["blocked"]).fillna(others.y.mean() if len(others) else 0.0)
+    x = np.column_stack([rows[names].to_numpy(dtype=float).reshape(len(rows), -1), share, blocked])
+    return boost(x, rows.y.to_numpy(dtype=float)), suffix_statistics(rows), float(rows.y.mean()) if len(rows) else 0.0
+
+
+def labelled_sample(ruled: DataFrame, sample: int, sets: tuple[int, ...] = tuple(range(FOLDS))) -> pd.DataFrame:
+    """A sample of at most `sample` urls under rules, the same for the same rows: y, suffix, fold and features."""
+    labelled = ruled.where("rule is not null").select("page_id", "url", "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("y"))
+    labelled = labelled.withColumns({"_at": F.xxhash64("url", "page_id"), "fold": F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(FOLDS))})
+    labelled = labelled.where(F.col("fold").isin(*sets))
+    share = min(1.0, 1.2 * sample / max(labelled.count(), 1))
+    chosen = labelled.where(F.col("_at") <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else labelled
+    chosen = chosen.orderBy("_at", "page_id").limit(sample)
+    return with_features(chosen).select("y", "suffix", "fold", *[f for f in FEATURES if not f.startswith("suffix_")]).toPandas()
+
+
+def judged(ruled: DataFrame, rows: pd.DataFrame) -> DataFrame:
+    """ruled with `tree_verdict`, learnt from rows."""
+    model, stats, mean = fit(rows)
+    known = [(s, float(r["share"]), float(r["blocked"])) for s, r in stats.iterrows()]
+    suffixes = ruled.sparkSession.createDataFrame(known, "suffix string, suffix_share double, suffix_blocked double")
+    # At most SAMPLE rows.
+    df = with_features(ruled).join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_blocked": mean})
+    return df.withColumn("tree_verdict", F.when(model.column() > 0, "block").otherwise("allow"))
+
+
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, sample: int = SAMPLE) -> DataFrame:
     """pages (page_id, url) with host, path, rule and verdict.
 
@@ -154,28 +201,23 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     allow on length, depth, digit ratio, entropy, parameter counts and statistics of the host's suffix. All other
     urls are judged by the trees, as one expression of the plan. No labelled url: everything else is allowed; labels
     of one kind only: everything else gets that verdict. Null urls and ones without `://` have empty host and path
-    and are judged by the trees like others. Repeated rows are judged alike; other columns are ignored.
+    and are judged by the trees like others. Repeated rows are judged alike; an empty table gives no rows; other columns
+    are ignored.
     """
     ruled = with_rule(pages.select("page_id", F.col("url").cast("string").alias("url")), rules)
-    labelled = ruled.where("rule is not null").select("page_id", "url", "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("y"))
-    labelled = labelled.withColumn("_at", F.xxhash64("url", "page_id"))
-    number = labelled.count()
-    share = min(1.0, 1.2 * sample / max(number, 1))
-    chosen = labelled.where(F.col("_at") <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else labelled
-    chosen = chosen.orderBy("_at", "page_id").limit(sample)
-    names = [f for f in FEATURES if not f.startswith("suffix_")]
-    rows = with_features(chosen).select("y", "suffix", *names).toPandas()
-    by_suffix = rows.groupby("suffix").y.agg(["size", "mean"]) if len(rows) else None
-    stats = [(s, float(r["size"] / len(rows)), float(r["mean"])) for s, r in by_suffix.iterrows()] if len(rows) else []
-    mean = float(rows.y.mean()) if len(rows) else 0.0
-    known = {s: (a, b) for s, a, b in stats}
-    x = np.column_stack([rows[names].to_numpy(dtype=float), np.array([known[s] for s in rows.suffix], dtype=float).reshape(-1, 2)])
-    model = boost(x, rows.y.to_numpy(dtype=float))
-    suffixes = ruled.sparkSession.createDataFrame(stats, "suffix string, suffix_share double, suffix_blocked double")
-    # At most `sample` rows.
-    judged = with_features(ruled).join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_blocked": mean})
-    verdict = F.coalesce("rule_verdict", F.when(model.column() > 0, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    out = judged(ruled, labelled_sample(ruled, sample))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "tree_verdict").alias("verdict"))
+
+
+def held_out_verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, sample: int = SAMPLE) -> DataFrame:
+    """(page_id, rule_verdict, tree_verdict) of the urls under rules in fold 0, by trees learnt from the other folds.
+
+    Folds are by a hash of the url, so a url that was learnt from is never judged here.
+    """
+    ruled = with_rule(pages.select("page_id", F.col("url").cast("string").alias("url")), rules)
+    rows = labelled_sample(ruled, sample, tuple(range(1, FOLDS)))
+    held = ruled.where(F.col("rule").isNotNull() & (F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(FOLDS)) == 0))
+    return judged(held, rows).select("page_id", "rule_verdict", "tree_verdict")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

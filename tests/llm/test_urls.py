@@ -1,6 +1,6 @@
 import numpy as np
 
-from docloom.llm.urls import RULES, boost, filter_urls, op3_url_filter
+from docloom.llm.urls import RULES, boost, filter_urls, held_out_verdicts, op3_url_filter
 
 
 def brute(url, rules=RULES):
@@ -54,3 +54,11 @@ def test_boosting_separates(spark):
 
     df = spark.createDataFrame([tuple(map(float, r)) for r in x[:50]], ", ".join(f"{f} double" for f in FEATURES))
     assert np.allclose([r[0] for r in df.select(model.column()).collect()], model.score(x[:50]))
+
+
+def test_held_out_accuracy(spark):
+    rows = held_out_verdicts(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+    right = sum(r.rule_verdict == r.tree_verdict for r in rows)
+    most = max(sum(r.rule_verdict == v for r in rows) for v in ("allow", "block"))
+    print(f"tree verdicts: {right} of {len(rows)} right, {most} by the commoner verdict")
+    assert len(rows) > 50 and right > most and right >= 0.9 * len(rows)
