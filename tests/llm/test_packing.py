@@ -3,6 +3,7 @@ from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from docloom.llm import packing
@@ -54,6 +55,48 @@ def test_edge_cases(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, " \t\n\u3000" * 250_000, "a" + " " * 300_000 + "b " * 1000, "x" * 300_000 + "\n\n"])
+def test_long_runs_equal_the_whole_tokenizer(text):
+    whole = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(whole)
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), whole)(text) == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_failures_of_the_quick_encoder_are_made_good(monkeypatch):
+    class Panic(BaseException):
+        pass
+
+    class Broken:
+        def __init__(self, *args, **kwargs):
+            pass
+
+        def encode_ordinary(self, text):
+            raise Panic
+
+    monkeypatch.setattr(packing.tiktoken, "Encoding", Broken)
+    whole = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), whole)("two words") == Tokenizer.from_file(whole).encode("two words").ids
+
+
+def test_long_white_space_in_a_table(spark):
+    rows = [(1, "before " + " " * 600_000 + " after"), (2, "plain"), (3, "\n" * 200_000)]
+    assert check(rows, pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 1
+
+
+def test_cuts_have_equal_weight():
+    rng = np.random.default_rng(3)
+    cells, weights = rng.permutation(500), rng.integers(1, 100, 500)
+    weights[7] = 40_000
+    cuts = packing.cuts_of(cells, weights, 20)
+    assert (np.diff(cuts) >= 0).all()
+    width = 1 << (32 + packing.DIMS * packing.BITS - packing.CELLS)
+    places, each = [], []
+    for c, w in zip(cells.tolist(), weights.tolist()):
+        places += (c * width + (np.arange(w) * width) // w).tolist()
+    each = np.bincount(np.searchsorted(cuts, places, side="right"), minlength=20)
+    assert each.max() - each.min() < 0.02 * weights.sum()
+
+
 def test_hilbert_visits_neighbours():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = hilbert(grid, 3)
