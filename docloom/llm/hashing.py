@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 19
@@ -46,19 +44,6 @@ def tidied(batches: Iterator) -> Iterator:
         trim(0)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 4_000) -> Iterator[None]:
-    """Meanwhile at most `rows` rows go to a Python worker at a time; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows` rows, so that what Python holds at a time stays small."""
     for batch in tidied(batches):

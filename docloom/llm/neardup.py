@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.hashing import overlap, set_key, shingle_sets, slices, small_batches, tidied
+from docloom.llm.hashing import overlap, set_key, shingle_sets, slices, tidied
 from docloom.llm.links import SIGNED, bounded_broadcast, links, local_hubs
 from docloom.llm.registers import bands, estimate, least_estimate, sketches
 from docloom.session import release, stored, table
@@ -59,8 +59,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
     falls 4.5 standard errors short of the threshold are dropped; all others are confirmed on their full sets.
     """
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    with small_batches(docs.sparkSession):
-        sketch = stored(whole.mapInArrow(lambda it: _sketched(it, words), "doc_id long, set_key binary, n_shingles long, sig binary"))
+    sketch = stored(whole.mapInArrow(lambda it: _sketched(it, words), "doc_id long, set_key binary, n_shingles long, sig binary"))
     rows = sketch.select("doc_id", "set_key", "n_shingles")
     nodes = (
         sketch.where("n_shingles > 0")
