@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -73,7 +72,7 @@ COPY_MARKS = ("original for", "duplicate for", "triplicate for", "supplier")
 TOTAL = (
     "grand total", "invoice value", "total invoice value", "amount payable", "net amount", "amount due",
     "total amount after tax", "value (figure)", "total after tax", "invoice amt", "inv value", "inv value (in fig)",
-    "invoice amount", r"\btotal\b",
+    "invoice amount", r"\btotal\b",  # The last is no pattern: it is searched for as it is written.
 )
 TAX = (
     "igst", "cgst", "sgst", "tax amount", "total tax amount", "gst output", "add : igst", "add : cgst", "add : sgst",
@@ -100,24 +99,31 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _one_of(words: list[str]) -> str:
-    return "|".join(re.sub(r"([^a-zA-Z0-9 ])", r"\\\1", w) for w in words)
+def folded(c: Column) -> Column:
+    """Lower-cased ASCII letters and digits, digits read as the letters they resemble; numbers by themselves are left out,
+    so that 1657 is no tax."""
+    words = F.regexp_replace(F.lower(as_text(c)), r"\b[0-9][0-9.,]*\b", " ")
+    return F.translate(F.regexp_replace(words, "[^a-z0-9]", ""), *KEYWORD_LOOKALIKES)
+
+
+def _bare(keywords: tuple[str, ...]) -> list[str]:
+    table = str.maketrans(*KEYWORD_LOOKALIKES)
+    found = dict.fromkeys("".join(x for x in k.lower() if x.isascii() and x.isalnum()).translate(table) for k in keywords)
+    return [b for b in found if b]
 
 
 def contains_any(c: Column, keywords: tuple[str, ...]) -> Column:
     """Whether text holds a keyword as it is, or without punctuation, or with digits read as the letters they resemble.
-    Numbers by themselves are not read so: 1657 is no tax.
 
-    The keyword lists are literals of the plan: one pattern for each of three forms of the text.
+    Keywords have no digits, so a text that holds one in either of the first two ways holds it in the third as well: one
+    search of the folded text decides. The keyword lists are literals of the plan.
     """
-    table = str.maketrans(*KEYWORD_LOOKALIKES)
-    plain = list(dict.fromkeys(k.lower() for k in keywords))
-    bare = [b for b in dict.fromkeys("".join(x for x in k if x.isascii() and x.isalnum()) for k in plain) if b]
-    lower = F.lower(as_text(c))
-    compact = F.regexp_replace(lower, "[^a-z0-9]", "")
-    words = F.regexp_replace(lower, r"\b[0-9][0-9.,]*\b", " ")
-    folded = F.translate(F.regexp_replace(words, "[^a-z0-9]", ""), *KEYWORD_LOOKALIKES)
-    return lower.rlike(_one_of(plain)) | compact.rlike(_one_of(bare)) | folded.rlike(_one_of([b.translate(table) for b in bare]))
+    return folded(c).rlike("|".join(_bare(keywords)))
+
+
+def holds_any(form: Column, keywords: tuple[str, ...]) -> Column:
+    """contains_any for a column that holds the folded text already: plain searches, which are quicker than a pattern."""
+    return any_of([form.contains(b) for b in _bare(keywords)])
 
 
 def keyword_hits(c: Column, keywords: tuple[str, ...]) -> Column:
@@ -165,10 +171,15 @@ def is_uppercase_line(c: Column) -> Column:
     return shape & ~is_address_like(line) & ~is_logistics_like(line) & ~is_header_noise(line)
 
 
+def header_words(lower: Column) -> Column:
+    """The telling words that head a table's columns, as bits, of lower-cased text."""
+    strong = [k for k in TABLE_HEADER if k not in TABLE_HEADER_WEAK]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(lower.contains(k), 1 << i).otherwise(0) for i, k in enumerate(strong)])
+
+
 def is_table_header(c: Column) -> Column:
     """Two words that head a table's columns, two of them among the telling ones."""
-    strong = tuple(k for k in TABLE_HEADER if k not in TABLE_HEADER_WEAK)
-    return (keyword_hits(c, TABLE_HEADER) >= 2) & (keyword_hits(c, strong) >= 2)
+    return F.bit_count(header_words(F.lower(as_text(c)))) >= 2
 
 
 def is_buyer_header(c: Column) -> Column:

@@ -213,15 +213,21 @@ def fragments(c: Column, before: tuple[tuple[str, ...], ...]) -> Column:
 
 def collapse_repeats(c: Column) -> Column:
     """Comma parts that repeat an earlier one are dropped; then a text that is one half said twice is halved."""
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def distinct(keyed: Column) -> Column:
+        keys = F.transform(keyed, lambda s: s["k"])
+        first = F.filter(keyed, lambda s, i: F.array_position(keys, s["k"]) == i + 1)
+        return F.array_join(F.transform(first, lambda s: s["p"]), ", ")
+
+    def halved(words: Column) -> Column:
+        half = (F.size(words) / 2).cast("int")
+        twice = (F.size(words) > 1) & (F.size(words) % 2 == 0) & (F.slice(words, F.lit(1), half) == F.slice(words, half + 1, half))
+        return F.array_join(F.when(twice, F.slice(words, F.lit(1), half)).otherwise(words), " ")
+
     parts = F.transform(F.split(as_text(c), ","), lambda x: F.trim(x))
     keyed = F.filter(F.transform(parts, lambda p: F.struct(comparison_key(p).alias("k"), p.alias("p"))), lambda s: s["k"] != "")
-    keys = F.transform(keyed, lambda s: s["k"])
-    first = F.filter(keyed, lambda s, i: F.array_position(keys, s["k"]) == i + 1)
-    text = F.array_join(F.transform(first, lambda s: s["p"]), ", ")
-    words = F.split(text, " ")
-    half = (F.size(words) / 2).cast("int")
-    twice = (F.size(words) > 1) & (F.size(words) % 2 == 0) & (F.slice(words, F.lit(1), half) == F.slice(words, half + 1, half))
-    return F.when(twice, F.array_join(F.slice(words, F.lit(1), half), " ")).otherwise(text)
+    return once(F.split(once(keyed, distinct), " "), halved)
 
 
 def spaced_pattern(token: Column) -> Column:

@@ -13,7 +13,7 @@ from docloom.operators import quality as Q
 from docloom.operators.classify import classify, route
 from docloom.operators.lines import plain_lines
 from docloom.operators.rank import best
-from docloom.session import checkpointed
+from docloom.session import stored
 
 # --- Fixed values: labels, stop words and hints of identity cards. ---
 FUZZY_DATE = r"[0-9OQDILSZBG]{1,2}[/\-.][0-9OQDILSZBG]{1,2}[/\-.][0-9OQDILSZBG]{4}"
@@ -213,4 +213,4 @@ def extract_unknown(docs: DataFrame) -> DataFrame:
 def extract_id_cards(docs: DataFrame) -> DataFrame:
     """Records of (doc_id, text), each by the extractor of its kind."""
     extractors = {"AADHAAR": extract_aadhaar, "PAN": extract_pan, "DRIVING_LICENSE": extract_licence, "UNKNOWN": extract_unknown}
-    return route(checkpointed(classify(docs)), extractors)
+    return route(stored(classify(docs)), extractors)

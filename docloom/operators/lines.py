@@ -66,27 +66,33 @@ def with_zones(lines: DataFrame) -> DataFrame:
     """lines with n_lines, the document's anchors and flags in_top, in_middle, in_table, in_bottom, and zone.
 
     Anchors: table_header, total_line and tax_line (null if absent), header_end, footer_start. The flags may overlap;
-    zone is the one of them that counts for a line by itself: TOP before BOTTOM before TABLE before MIDDLE. All
-    windows share one partitioning by doc_id.
+    zone is the one of them that counts for a line by itself: TOP before BOTTOM before TABLE before MIDDLE. Also
+    folded (see predicates), buyer_line, the last buyer header down to the line, and first_buyer. All windows share one
+    partitioning by doc_id, and move no more than a line's own small columns.
     """
     doc = Window.partitionBy("doc_id")
     seq = doc.orderBy("line_no")
-    no, n = F.col("line_no"), F.col("n_lines")
+    upto = seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    no, n, form = F.col("line_no"), F.col("n_lines"), F.col("folded")
     text = F.lower("text")
-    second, third = F.lead(text, 1).over(seq), F.lead(text, 2).over(seq)
-    df = lines.withColumns({"n_lines": F.count("*").over(doc), "_2": F.coalesce(second, F.lit("")), "_3": F.coalesce(third, F.lit(""))})
-    h1, h2, h3 = P.is_table_header(text), P.is_table_header(F.col("_2")), P.is_table_header(F.col("_3"))
-    pair = (F.col("_2") != "") & P.is_table_header(F.concat_ws(" ", text, "_2"))
-    three = (F.col("_3") != "") & P.is_table_header(F.concat_ws(" ", text, "_2", "_3"))
-    header = F.when(h1, no).when(pair, no + 1).when(three & h2, no + 1).when(three & h3, no + 2)
-    total = P.contains_any(text, P.TOTAL_LINE) | (text.rlike(r"^total\b") & ~text.contains("to be taxed"))
-    taxish = text.contains("igst") | text.contains("cgst") | text.contains("sgst") | text.contains("tax")
+    df = lines.withColumns({"folded": P.folded(F.col("text")), "_words": P.header_words(text)})
+    # The costly look at a line's parts is only for lines that hold the words at all.
+    may_open = P.holds_any(form, P.BUYER_SECTION) | text.rlike(r"(?:^|\|)\s*(?:invoice )?to[,:.]?\s*(?:\||$)")
     df = df.withColumns(
         {
-            "_hit": header, "is_header": h1, "_total": total, "_tax": taxish, "is_buyer_header": P.is_buyer_header(text),
-            "_stop": P.is_item_stop_line(text), "_footer": P.contains_any(text, P.FOOTER),
+            "is_header": F.bit_count("_words") >= 2,
+            "_total": P.holds_any(form, P.TOTAL_LINE) | (text.rlike(r"^total\b") & ~text.contains("to be taxed")),
+            "_tax": text.contains("igst") | text.contains("cgst") | text.contains("sgst") | text.contains("tax"),
+            "is_buyer_header": F.when(may_open, P.is_buyer_header(text)).otherwise(False),
+            "_stop": P.holds_any(form, P.ITEM_STOP),
+            "_footer": P.holds_any(form, P.FOOTER),
         }
-    ).drop("_2", "_3")
+    )
+    df = df.withColumns({"n_lines": F.count("*").over(doc), "_2": F.lead("_words", 1).over(seq), "_3": F.lead("_words", 2).over(seq)})
+    two = F.coalesce(F.bit_count(F.col("_words").bitwiseOR(F.col("_2"))) >= 2, F.lit(False))
+    three = F.coalesce(F.bit_count(F.col("_words").bitwiseOR(F.col("_2")).bitwiseOR(F.col("_3"))) >= 2, F.lit(False))
+    header = F.when(F.col("is_header"), no).when(two, no + 1).when(three & (F.bit_count("_2") >= 2), no + 1).when(three & (F.bit_count("_3") >= 2), no + 2)
+    df = df.withColumn("_hit", header).drop("_words", "_2", "_3")
     at = F.min(F.when(F.col("_hit").isNotNull(), F.struct(no.alias("i"), F.col("_hit").alias("h")))).over(doc)
     df = df.withColumn("table_header", at["h"])
     df = df.withColumns(
@@ -104,13 +110,22 @@ def with_zones(lines: DataFrame) -> DataFrame:
     foot = F.when(F.col("total_line").isNotNull(), F.least(foot, F.greatest(F.lit(0), F.col("total_line") - 3))).otherwise(foot)
     df = df.withColumns({"header_end": end.cast("int"), "footer_start": (F.least(foot, F.coalesce(F.col("_strong") - 1, foot)) + 1).cast("int")})
     upper = F.coalesce("table_header", "total_line", "footer_start")
-    near = F.collect_list(
-        F.struct(no.alias("i"), F.col("y"), F.col("col"), F.col("is_buyer_header").alias("a"), (F.col("is_header") | F.col("_stop")).alias("s"))
-    ).over(seq.rowsBetween(-(SECTION - 1), 0))
-    df = df.withColumn("_near", near)
-    breaks = lambda a, k: (k["i"] > a["i"]) & (k["s"] | ((F.abs(k["y"] - a["y"]) > JUMP) & (k["col"] != a["col"])))
-    inside = F.exists("_near", lambda a: a["a"] & ~F.exists("_near", lambda k: breaks(a, k))) & (no < upper)
-    df = df.withColumn("_inside", inside)
+    # A buyer header reaches down to the next header or stop line, and no further than where lines of another column
+    # begin far below it. Places go down the page, so the last line of each column tells.
+    anchor = F.when(F.col("is_buyer_header"), F.struct(no.alias("i"), F.col("y"), F.col("col")))
+    columns = ("FULL", "LEFT", "RIGHT")
+    df = df.withColumns(
+        {
+            "_near": F.collect_list(anchor).over(seq.rowsBetween(-(SECTION - 1), 0)),
+            "_last": F.coalesce(F.max(F.when(F.col("is_header") | F.col("_stop"), no)).over(upto), F.lit(0)),
+            "buyer_line": F.max(F.when(F.col("is_buyer_header"), no)).over(upto),
+            "first_buyer": F.min(F.when(F.col("is_buyer_header"), no)).over(doc),
+            **{f"_y_{c}": F.coalesce(F.max(F.when(F.col("col") == c, F.col("y"))).over(upto), F.lit(-1)) for c in columns},
+        }
+    )
+    far = lambda a: F.greatest(*[F.when(a["col"] != c, F.col(f"_y_{c}")).otherwise(-1) for c in columns]) > a["y"] + JUMP
+    inside = F.exists("_near", lambda a: (F.col("_last") <= a["i"]) & ~far(a)) & (no < upper)
+    df = df.withColumn("_inside", inside).drop(*[f"_y_{c}" for c in columns], "_last")
     any_inside = F.max("_inside").over(doc)
     table_end = F.when(F.col("total_line") > F.col("table_header"), F.col("total_line")).otherwise(F.col("footer_start"))
     df = df.withColumns(

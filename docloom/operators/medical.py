@@ -11,7 +11,7 @@ from docloom.functions.text import as_text, normalize_line
 from docloom.operators.classify import ORGANIZATIONS, select_pages
 from docloom.operators.lines import plain_lines
 from docloom.operators.rank import best
-from docloom.session import checkpointed
+from docloom.session import stored
 
 # --- Fixed values: phrases, titles and patterns of certificates. ---
 NOT_ORGANIZATION = (
@@ -144,7 +144,7 @@ def extract_certificates(pages: DataFrame) -> DataFrame:
     are dd-MM-yyyy. Days that miss the range by more than one give way to the range's count. Documents without a
     relevant page have nulls; null texts count as blank pages.
     """
-    chosen = checkpointed(select_pages(pages))
+    chosen = stored(select_pages(pages))
     part = lambda c: chosen.select("doc_id", F.col(c).alias("text"))
     primary, header, both = part("primary_text"), part("header_text"), part("combined_text")
     lines = {k: plain_lines(d) for k, d in (("primary", primary), ("header", header), ("both", both))}

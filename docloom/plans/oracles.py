@@ -61,7 +61,7 @@ SCORES = f"WITH {ITEMS} SELECT k AS doc_id, 125 * n AS score, sub AS items_cents
 
 RECONSTRUCTION = """
 SELECT o_orderkey AS doc_id, net AS subtotal, net * 18 // 100 AS tax
-FROM (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS net FROM orders) WHERE net >= 2000
+FROM (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) + 2000 AS net FROM orders)
 """
 
 CERTIFICATES = f"""
@@ -97,10 +97,7 @@ SELECT k AS doc_id, CASE k % 3 WHEN 0 THEN 'AADHAAR' WHEN 1 THEN 'PAN' ELSE 'DRI
 FROM (SELECT c_custkey AS k, number FROM {check_digit('customer', 'c_custkey')})
 """
 
-TEMPLATES = f"""
-WITH {ITEMS}, v AS (SELECT k, {letters('s')} AS vendor FROM inv)
-SELECT k AS doc_id, vendor IN (SELECT vendor FROM v WHERE k % 2 = 0) AS known FROM v
-"""
+TEMPLATES = f"WITH {ITEMS} SELECT k AS doc_id, 'VENDOR ' || {letters('s')} || ' INDUSTRIES LIMITED' AS vendor_name FROM inv"
 
 LINE_INDEX = r"""
 WITH p AS (
@@ -120,7 +117,7 @@ CLEANING = r"""
 SELECT doc_id, md5(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS line, md5(upper(regexp_replace(t, '[^A-Za-z0-9]', '', 'g'))) AS key,
        md5(regexp_replace(t, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')) AS edges,
        md5(translate(upper(p), 'OQDILZSBG', '000112586')) AS digits, md5(translate(upper(p), '012568', 'OIZSGB')) AS letters
-FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(substr(text, 1, 500), '[^ -~]', '', 'g') AS p FROM documents)
+FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(text, '[^ -~]', '', 'g') AS p FROM documents)
 """
 
 LINES = "l AS (SELECT doc_id, trim(x) AS t FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents) WHERE trim(x) <> '')"
@@ -266,13 +263,17 @@ SELECT doc_id, array_to_string(a, ',') AS invoice, array_to_string([b[i] for i i
 FROM n WHERE len(a) > 0 OR len(b) > 0
 """
 
-ENTITIES = r"""
+#: Numbers of six digits, and of 9 to 18, are whole runs of digits.
+ENTITIES = rf"""
+WITH {LINES}, r AS (SELECT doc_id, t, regexp_extract_all(t, '[0-9]+') AS runs, regexp_matches(lower(t), 'a/c|account|acc') AS about FROM l)
 SELECT * FROM (
-  SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS BIGINT) AS mails,
-         CAST(len(regexp_extract_all(t, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS BIGINT) AS hosts,
-         CAST(len(regexp_extract_all(t, '[0-9]{16}')) AS BIGINT) AS cards
-  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
-WHERE mails + hosts + cards > 0
+  SELECT doc_id, CAST(sum(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}'))) AS BIGINT) AS mails,
+         CAST(sum(len(regexp_extract_all(t, '\b[A-Z]{{4}}0[A-Z0-9]{{6}}\b'))) AS BIGINT) AS codes,
+         CAST(sum(len(regexp_extract_all(t, '\b[A-Z]{{2}}[ -]?\d{{1,2}}[ -]?[A-Z]{{1,3}}[ -]?\d{{4}}\b'))) AS BIGINT) AS vehicles,
+         CAST(sum(len([x for x in runs if length(x) = 6 AND x[1] <> '0'])) AS BIGINT) AS pincodes,
+         CAST(sum(CASE WHEN about THEN len([x for x in runs if length(x) BETWEEN 9 AND 18]) ELSE 0 END) AS BIGINT) AS accounts
+  FROM r GROUP BY doc_id)
+WHERE mails + codes + vehicles + pincodes + accounts > 0
 """
 
 TAX = """
@@ -286,8 +287,14 @@ FROM y GROUP BY l_linenumber
 EVENTS = "SELECT date_trunc('hour', ts) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2"
 
 
+SEARCH = f"SELECT s_suppkey, {gstin('s_suppkey')} AS found FROM supplier"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    from docloom.plans import damaged
+
+    return damaged.oracle_sql() | {
+        "gstin_search": SEARCH,
         "invoice_round_trip": INVOICE, "line_item_round_trip": LINE_ITEMS, "line_item_scores": SCORES, "amount_reconstruction": RECONSTRUCTION,
         "certificate_round_trip": CERTIFICATES, "id_card_round_trip": ID_CARDS, "template_round_trip": TEMPLATES, "line_index": LINE_INDEX,
         "text_cleaning": CLEANING, "keyword_lines": KEYWORDS, "classification": CLASSIFICATION, "line_quality_top": QUALITY,

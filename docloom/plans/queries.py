@@ -18,15 +18,17 @@ from docloom.functions import values as V
 from docloom.operators import amounts as A
 from docloom.operators.classify import classify
 from docloom.operators.idcards import extract_id_cards
-from docloom.operators.invoice import extract_invoices
+from docloom.operators.invoice import extract_invoices, scan_candidates
 from docloom.operators.lineitems import line_items, section_score, sum_of_items
 from docloom.operators.lines import index_lines, plain_lines, with_zones
 from docloom.operators.medical import extract_certificates
 from docloom.operators.merge import merge_passes
 from docloom.operators.rank import best, top_k
 from docloom.operators.templates import TEMPLATE_SCHEMA, learn, lookup, quality, signatures
+from docloom.plans import damaged
 from docloom.plans.render import aadhaar_of, certificates, gstin_of, id_cards, invoices, money
-from docloom.session import checkpointed, table
+from docloom.session import stored, table
+from docloom.streaming.ingest import windowed_counts
 
 AS_OF = "2025-01-01"
 DIGIT_TO_LETTER, LETTER_TO_DIGIT = ("012568", "OIZSGB"), ("OIZSGB", "012568")
@@ -38,7 +40,7 @@ def as_of():
 
 def rendered(render: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered documents as a table, like documents that are read; else every use of a text would render it again."""
-    return checkpointed(render(spark, sf_dir))
+    return stored(render(spark, sf_dir))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +67,15 @@ def line_item_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section score and the sum of each rendered invoice's items."""
-    items = checkpointed(line_items(with_zones(index_lines(rendered(invoices, spark, sf_dir)))))
+    items = stored(line_items(with_zones(index_lines(rendered(invoices, spark, sf_dir)))))
     out = section_score(items).join(sum_of_items(items), "doc_id")
     return out.select("doc_id", "score", F.round(F.col("items_total") * 100).cast("long").alias("items_cents"))
 
 
 def amount_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subtotal and tax found again from nothing but the amounts of a text and its total."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice")).cast("long").alias("net")).where("net >= 2000")
+    """Subtotal and tax found again from nothing but the amounts of a text and its total. 2000 more than an order's price,
+    so that no amount is too small to count."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.round(F.col("o_totalprice")).cast("long") + 2_000).alias("net"))
     tax = F.floor(F.col("net") * 18 / 100)
     text = F.concat_ws("\n", F.concat(F.lit("Some value "), F.col("net").cast("string")), F.concat(F.lit("Other value "), tax.cast("string")), F.concat(F.lit("Grand Total "), (F.col("net") + tax).cast("string")))
     docs = rows.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"), (F.col("net") + tax).cast("double").alias("total"))
@@ -92,13 +95,12 @@ def id_card_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates learnt from half of the invoices, then looked up for all: whether each one's layout is known."""
+    """Templates learnt from all invoices, then looked up for each: the vendor of the template that was found."""
     docs = rendered(invoices, spark, sf_dir)
-    lines = with_zones(index_lines(docs))
-    signed = checkpointed(signatures(lines))
-    records = quality(extract_invoices(docs.where("doc_id % 2 = 0"), as_of())).join(signed, "doc_id")
-    store = checkpointed(learn(spark.createDataFrame([], TEMPLATE_SCHEMA), records))
-    return lookup(signed, store).select("doc_id", F.col("template_id").isNotNull().alias("known"))
+    signed = stored(signatures(with_zones(index_lines(docs))))
+    records = quality(extract_invoices(docs, as_of())).join(signed, "doc_id")
+    store = stored(learn(spark.createDataFrame([], TEMPLATE_SCHEMA), records))
+    return lookup(signed, store).join(store.select("template_id", "vendor_name"), "template_id").select("doc_id", "vendor_name")
 
 
 def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,22 +121,16 @@ def zone_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of normalised, keyed and edge-stripped texts, and of the ASCII of their beginnings with look-alikes exchanged."""
+    """Digests of normalised, keyed and edge-stripped whole texts, and of their ASCII with look-alikes exchanged."""
     c = F.col("text")
-    plain = F.regexp_replace(F.substring(c, 1, 500), "[^ -~]", "")
+    plain = F.regexp_replace(c, "[^ -~]", "")
     return documents(spark, sf_dir).select("doc_id", F.md5(T.normalize_line(c)).alias("line"), F.md5(T.comparison_key(c)).alias("key"), F.md5(T.strip_edges(c)).alias("edges"), F.md5(T.digit_lookalikes(plain)).alias("digits"), F.md5(T.letter_lookalikes(plain)).alias("letters"))
 
 
-def text_lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ASCII of whole texts with look-alikes exchanged, of which text_cleaning and its SQL take beginnings."""
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    return documents(spark, sf_dir).select("doc_id", F.md5(T.digit_lookalikes(plain)).alias("digits"), F.md5(T.letter_lookalikes(plain)).alias("letters"))
-
-
 def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each keyword family how many lines of a document it fits."""
-    lines = plain_lines(documents(spark, sf_dir))
-    fits = lambda words: F.count(F.when(P.contains_any(F.col("text"), words), 1))
+    lines = plain_lines(documents(spark, sf_dir)).withColumn("folded", P.folded(F.col("text")))
+    fits = lambda words: F.count(F.when(P.holds_any(F.col("folded"), words), 1))
     return lines.groupBy("doc_id").agg(fits(P.BUSINESS).alias("business"), fits(P.GOVERNMENT).alias("government"), fits(P.BANK).alias("bank"), fits(P.ITEM_STOP).alias("item_stop"))
 
 
@@ -183,7 +179,7 @@ def gstin_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gstin_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bounded search for numbers whose entity letter was misread; rows only."""
+    """The bounded search for numbers whose last letter of the holder's code was misread."""
     df = table(spark, sf_dir, "supplier").select("s_suppkey", gstin_of(F.col("s_suppkey")).alias("gstin"))
     damaged = F.concat(F.substring("gstin", 1, 6), F.lit("2"), F.substring("gstin", 8, 8))
     return df.select("s_suppkey", I.search_gstin(damaged, F.lit(4096)).alias("found"))
@@ -245,13 +241,11 @@ def date_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many mail addresses, dotted addresses and long numbers each document holds."""
-    c = F.col("text")
-    df = documents(spark, sf_dir).select(
-        "doc_id", F.regexp_count(c, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")).cast("long").alias("mails"),
-        F.regexp_count(c, F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}")).cast("long").alias("hosts"), F.regexp_count(c, F.lit("[0-9]{16}")).cast("long").alias("cards"),
-    )
-    return df.where("mails + hosts + cards > 0")
+    """How many mail addresses, bank codes, vehicles, pincodes and account numbers each document's lines hold."""
+    found = scan_candidates(plain_lines(documents(spark, sf_dir)))
+    count = lambda f, n: F.count(F.when(F.col("field") == f, 1)).alias(n)
+    out = found.groupBy("doc_id").agg(count("email", "mails"), count("ifsc", "codes"), count("vehicle", "vehicles"), count("pincode", "pincodes"), count("account", "accounts"))
+    return out.where("mails + codes + vehicles + pincodes + accounts > 0")
 
 
 def tax_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,17 +258,15 @@ def tax_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type: the batch form of the streaming count."""
-    e = table(spark, sf_dir, "events")
-    out = e.groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
-    return out.select(F.col("w.start").alias("window_start"), "kind", "n")
+    """Events by hour and type: the streaming count over a table that is complete."""
+    return windowed_counts(table(spark, sf_dir, "events"), F.col("event_type"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         invoice_round_trip, line_item_round_trip, line_item_scores, amount_reconstruction, certificate_round_trip, id_card_round_trip,
-        template_round_trip, line_index, zone_sizes, text_cleaning, text_lookalikes, keyword_lines, classification, line_quality_top, longest_line, pass_merge,
+        template_round_trip, line_index, zone_sizes, text_cleaning, keyword_lines, classification, line_quality_top, longest_line, pass_merge,
         verhoeff_numbers, gstin_numbers, gstin_search, identifier_repair, distances, amount_parsing, amount_words, date_parsing, date_scan,
         entity_scan, tax_checks, event_windows,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | damaged.queries()
