@@ -55,13 +55,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy", rows: int | None = None, each: int = 200_000) -> DataFrame:
     """df written to a table of its own in the shared folder and read again.
 
     Like a checkpoint this cuts the lineage and survives lost executors, but columns are compressed, small files are
     read many to a task, and Spark knows the table's size when it plans a join. The table is marked for deletion at the
-    session's end; forget() deletes it before.
+    session's end; forget() deletes it before. `rows`: no more rows than that are expected, so that at most one task for
+    `each` of them writes the table, not one for each partition of the last shuffle.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // each)))
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
