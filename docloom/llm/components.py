@@ -22,14 +22,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .where("a is not null and b is not null")
         .distinct()
     )
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"), F.lit(None).cast("long").alias("old")))
+    n = both.count()
+    first = F.least(F.col("a"), F.min("b")).alias("component")
+    labels = stored(both.groupBy("a").agg(first).select(F.col("a").alias("id"), "component", F.lit(None).cast("long").alias("old")), rows=n)
     for _ in range(max_rounds):
         own = labels.select("id", "component")
         heard = both.join(own.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("heard"))
         nearer = own.join(heard, "id").select("id", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
         root = own.select(F.col("id").alias("component"), F.col("component").alias("root"))
         jumped = nearer.join(root, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "old")
-        jumped = stored(jumped)
+        jumped = stored(jumped, rows=n)
         changed = jumped.where("component <> old").limit(1).count()
         forget(labels)
         labels = jumped

@@ -117,9 +117,10 @@ def links(
     met = stored(signed.repartition(deal).sortWithinPartitions("key", "id").mapInArrow(_buckets, "key long, hub long, id long"))
     low, high = F.least("hub", "id"), F.greatest("hub", "id")
     pairs = met.select(low.alias("a"), high.alias("b")).distinct()
-    told = stored(guess(pairs) if guess else pairs.withColumn("likely", F.lit(True)))
+    n = met.count()
+    told = stored(guess(stored(pairs, rows=n)) if guess else pairs.withColumn("likely", F.lit(True)), rows=n, each=50_000)
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = stored(texts(ends(told.where("likely"))))
+    held = stored(texts(ends(told.where("likely"))), rows=2 * told.count(), each=20_000)
 
     def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in tidied(it):
@@ -129,12 +130,13 @@ def links(
 
     def compared(pairs: DataFrame) -> DataFrame:
         both = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
-        return stored(both.mapInPandas(compare, "a long, b long"))
+        return stored(both.mapInPandas(compare, "a long, b long"), rows=pairs.count(), each=20_000)
 
     labels = connected_components(compared(told.where("likely").select("a", "b")))
     told = told.select("a", "b")
     mixed = met.withColumns({"a": low, "b": high}).join(_apart(told, labels), ["a", "b"]).select("key").distinct()
-    nodes = stored(met.join(stored(mixed), "key").select("key", F.explode(F.array("hub", "id")).alias("id")).distinct())
+    nodes = met.join(stored(mixed, rows=n), "key").select("key", F.explode(F.array("hub", "id")).alias("id")).distinct()
+    nodes = stored(nodes, rows=2 * n)
     forget(met)
     for most in ROUNDS:
         meetings = _meetings_of(nodes.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")))
@@ -144,10 +146,11 @@ def links(
         sent = signatures(meetings, held).select(F.xxhash64("key", "x", "y").alias("meeting"), "id", "part", "x", "y", "own", "size", "sig")
         sent = sent.repartition("meeting").sortWithinPartitions("meeting", "own", "id")
         named = sent.mapInArrow(near, "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
-        named = stored(named)
-        likely = stored(named.select("a", "b").join(told, ["a", "b"], "left_anti"))
+        named = stored(named, rows=most * nodes.count(), each=50_000)
+        likely = stored(named.select("a", "b").join(told, ["a", "b"], "left_anti"), rows=named.count())
         if likely.limit(1).count():
-            held = held.unionByName(stored(texts(ends(likely).join(held.select("id"), "id", "left_anti"))))
+            more = texts(ends(likely).join(held.select("id"), "id", "left_anti"))
+            held = held.unionByName(stored(more, rows=2 * likely.count(), each=20_000))
             labels = _joined(labels, compared(likely))
             told = told.unionByName(likely)
         if not named.where("more").limit(1).count():
@@ -171,7 +174,7 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     top = connected_components(over.where("a <> b"))
     single = top.join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
     out = labels.unionByName(single).join(top.toDF("component", "top"), "component", "left")
-    return stored(out.select("id", F.coalesce("top", "component").alias("component")))
+    return stored(out.select("id", F.coalesce("top", "component").alias("component")), rows=labels.count() + 2 * edges.count())
 
 
 def _meetings_of(tagged: DataFrame) -> DataFrame | None:
@@ -182,11 +185,12 @@ def _meetings_of(tagged: DataFrame) -> DataFrame | None:
     each other.
     """
     tagged = stored(tagged)
+    n = tagged.count()
     several = tagged.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("nodes"))
-    several = stored(several.where("lo <> hi and nodes > 2").select("key"))
+    several = stored(several.where("lo <> hi and nodes > 2").select("key"), rows=n)
     if not several.limit(1).count():
         return None
-    left = stored(tagged.join(several, "key"))
+    left = stored(tagged.join(several, "key"), rows=n)
     sizes = left.groupBy("key", "part").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("major"), F.sum("n").alias("nodes"), F.max("n").alias("most"))
     one = F.col("nodes") <= BLOCK
@@ -204,7 +208,7 @@ def _meetings_of(tagged: DataFrame) -> DataFrame | None:
             F.expr("if(majors = 0, array(), transform(sequence(1, majors), m -> struct(own as x, -m as y)))"),
         )
     )
-    return left.join(stored(largest), "key").withColumn("own", own).select("key", "id", "part", "own", F.inline(meets))
+    return left.join(stored(largest, rows=n), "key").withColumn("own", own).select("key", "id", "part", "own", F.inline(meets))
 
 
 def _by_meeting(batches: Iterator[pa.RecordBatch], threshold: float, most: int) -> Iterator[pa.RecordBatch]:
