@@ -168,7 +168,7 @@ def fit(rows: pd.DataFrame) -> tuple[Trees, pd.DataFrame, float]:
         known = suffix_statistics(others)
         share[own] = rows.suffix[own].map(known["share"]).fillna(0.0)
         blocked[own] = rows.suffix[own].map(known["blocked"]).fillna(others.y.mean() if len(others) else 0.0)
-    x = np.column_stack([rows[names].to_numpy(dtype=float).reshape(len(rows), -1), share, blocked])
+    x = np.column_stack([rows[names].to_numpy(dtype=float).reshape(len(rows), len(names)), share, blocked])
     return boost(x, rows.y.to_numpy(dtype=float)), suffix_statistics(rows), float(rows.y.mean()) if len(rows) else 0.0
 
 
