@@ -398,12 +398,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     some = texts.where(F.octet_length("text") >= length)
     found = stored(some.mapInArrow(lambda it: _anchored(it, length, gram), "gram long, i1 long, i2 long, place long, c1 long, c2 long"))
     context = ["gram", "c1", "c2"]
-    counts = stored(found.groupBy(*context).agg(F.count("*").alias("n")))
+    # With one place of each context, taken before anything is joined: a context that a third of all rows hold is one row
+    # for each task here.
+    counts = stored(found.groupBy(*context).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("i1", "i2", "place")]))
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)]
     mixed = stored(counts.groupBy("gram").agg(*ends).where("min_c1 <> max_c1 or min_c2 <> max_c2").select("gram"))
-    ones = found.join(stored(counts.join(mixed, "gram").select(*context)), context)
-    ones = ones.groupBy(*context).agg(*[F.first(c).alias(c) for c in ("i1", "i2", "place")])
-    ones = stored(ones.groupBy("i1", "i2").agg(F.collect_list(F.struct("place", *context)).alias("wanted")))
+    ones = stored(counts.join(mixed, "gram").groupBy("i1", "i2").agg(F.collect_list(F.struct("place", *context)).alias("wanted")))
     few = some.join(bounded_broadcast(ones.select("i1", "i2")), ["i1", "i2"], "left_semi").dropDuplicates(["i1", "i2"])
     heavy = stored(few.join(ones, ["i1", "i2"]).select("text", "wanted").mapInArrow(lambda it: _contexts(it, length), ROW), codec="zstd")
     groups, answers = _bounded_groups(heavy, length, gram)
