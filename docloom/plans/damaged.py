@@ -35,7 +35,8 @@ def as_of() -> Column:
 
 
 def _pad(key: Column, n: int) -> Column:
-    return F.lpad((key % 10**n).cast("string"), n, "0")
+    """A key in n digits; like SQL's lpad, the first n of a longer one."""
+    return F.lpad(key.cast("string"), n, "0")
 
 
 def _text(*parts: Column | str) -> Column:
@@ -74,10 +75,10 @@ def field_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.website(_text("shop", k, "@gmail.com")).alias("mail_host"),
         C.pincode(_text("Ref 123456 then Near Park Road, ", 500_000 + k % 90_000, " or 110001")).alias("pincode"),
         C.pincode(_text("Ref 012345 and ", 200_000 + k % 90_000)).alias("bare_pincode"),
-        C.vehicle(_text("ts-0", k % 10, " ab ", _pad(k, 4))).alias("vehicle"),
+        C.vehicle(_text("ts-0", k % 10, " ab ", _pad(k % 10_000, 4))).alias("vehicle"),
         C.place_of_supply(place, none, code).alias("place"),
         C.state(none, code, none).alias("state"),
-        C.ifsc(_text("HOFCO", F.translate(_pad(k, 6), "0", "Q"))).alias("ifsc"),
+        C.ifsc(_text("HOFCO", F.translate(_pad(k % 1_000_000, 6), "0", "Q"))).alias("ifsc"),
         C.identifier(_text("|PO_", k, "-A."), 30).alias("identifier"),
         C.account_number(_text("A/C No: 00", _pad(k, 10), " Branch"), none).alias("account"),
         C.account_number(none, _text("Bank of X 12345678 and 99", _pad(k, 10))).alias("longest"),
