@@ -81,7 +81,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
                 guess = estimate((x == y).mean(axis=1), a, b, REGISTERS)
                 likely = guess >= least_estimate(threshold, np.minimum(a, b), REGISTERS)
                 likely &= np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
-                yield p[["a", "b"]].assign(likely=likely)
+                yield p[["a", "b", "shared"]].assign(likely=likely)
 
     def own_set(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in tidied(it):
@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
 
     def guess(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sized.toDF("a", "size_a", "sig_a"), "a").join(sized.toDF("b", "size_b", "sig_b"), "b")
-        return both.mapInPandas(guessed, "a long, b long, likely boolean")
+        return both.mapInPandas(guessed, "a long, b long, shared long, likely boolean")
 
     def alike(left: list[str], right: list[str]) -> np.ndarray:
         own = list(dict.fromkeys([*left, *right]))
@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
         return out
 
     signed = nodes.select("id", "sig").mapInArrow(lambda it: local_hubs(_keys(it)), SIGNED)
-    found = links(signed, texts, alike, lambda some, _: some.join(sized, "id"), threshold, guess)
+    found = links(signed, texts, alike, lambda some, _: some.join(sized, "id"), threshold, guess, lambda regs: bands(regs, BANDS, WIDTH))
     named = found.join(nodes.select("id", "least_id"), "id")
     least = stored(named.groupBy("component").agg(F.min("least_id").alias("component_id")))
     named = named.join(least, "component").select("id", "component_id")

@@ -89,3 +89,34 @@ def test_many_alike_nodes_name_few_partners_at_first():
     rows = [(1, i, i, 0, 0, 0, 930, s) for i, s in enumerate(sig)]
     few, all_ = links._near(rows, 0.8, 2), links._near(rows, 0.8, 256)
     assert len(few) <= 120 and all(more for _, _, more in few) and len(all_) > 1700 and not any(more for _, _, more in all_)
+
+
+def group(n):
+    """Rows of a meeting of n sets of 930 of the same 1000 members, each a part of its own."""
+    members = [mix(np.random.default_rng(i).permutation(1000)[:930].astype(np.uint64)) for i in range(n)]
+    sig = [r.astype("<u2").tobytes() for r in sketches(members, 256)]
+    return [(1, i, i, 0, 0, 0, 930, s, str(i)) for i, s in enumerate(sig)]
+
+
+def test_a_meeting_gives_fewer_links_than_nodes():
+    rows, asked = group(60), []
+
+    def alike(left, right):
+        asked.extend(zip(left, right, strict=True))
+        return np.ones(len(left), dtype=bool)
+
+    assert len(links._hopeful([r[:8] for r in rows], 0.8, None)) == 60
+    found = links._confirmed(rows, 0.8, None, alike)
+    assert len(found) == 59 and set(tree(found).values()) == {0} and len(asked) <= 120
+    assert len(links._matched([(*r[:6], r[8]) for r in rows], lambda texts, key: np.ones((60, 60), dtype=bool))) == 59
+
+
+def test_a_meeting_compares_all_pairs_that_are_not_connected():
+    asked = []
+
+    def alike(left, right):
+        asked.extend(zip(left, right, strict=True))
+        return np.array([{a, b} == {"3", "17"} for a, b in zip(left, right, strict=True)])
+
+    assert [set(p) for p in links._confirmed(group(20), 0.8, None, alike)] == [{3, 17}]
+    assert {frozenset(p) for p in asked} >= {frozenset((str(i), str(j))) for i in range(20) for j in range(i) if {i, j} != {3, 17}}
