@@ -120,3 +120,27 @@ def test_a_meeting_compares_all_pairs_that_are_not_connected():
 
     assert [set(p) for p in links._confirmed(group(20), 0.8, None, alike)] == [{3, 17}]
     assert {frozenset(p) for p in asked} >= {frozenset((str(i), str(j))) for i in range(20) for j in range(i) if {i, j} != {3, 17}}
+
+
+def test_packed_rows_are_few_and_give_the_same_buckets(monkeypatch):
+    monkeypatch.setattr(links, "FLUSH", 20_000)
+    rng = np.random.default_rng(1)
+    keys = (rng.integers(-(2**40), 2**40, (9_000, 3)) << 20) // 64 * 64 | np.arange(3)
+    keys[::3] = keys[1::3]
+    keys[::5, 0] = 64
+    ids = rng.integers(-(2**63), 2**63 - 1, len(keys))
+    rows = [b for k in range(3) for b in links.packed(links.local_hubs((keys[a : a + 500], ids[a : a + 500]) for a in range(k * 3000, k * 3000 + 3000, 500)))]
+    table = pa.Table.from_batches(rows).sort_by("part")
+    assert all(len(r["keys"]) == len(r["ids"]) // 8 * (8 if r["hubs"] else 6) for r in table.to_pylist())
+    assert table.num_rows < 0.8 * keys.size
+    whole = {}
+    for b in links._buckets(links.unpacked(iter(table.to_batches(max_chunksize=700)), 900)):
+        for r in b.to_pylist():
+            whole.setdefault(r["key"], []).append((r["hub"], r["id"]))
+    want = {}
+    for row, i in zip((keys & (2**60 - 1)).tolist(), ids.tolist(), strict=True):
+        for k in row:
+            want.setdefault(k, set()).add(i)
+    assert set(whole) == {k for k, own in want.items() if len(own) > 1}
+    for k, found in whole.items():
+        assert tree(found) == dict.fromkeys(want[k], min(want[k]))
