@@ -8,6 +8,7 @@ from docloom.operators.amounts import amount_candidates, summary
 from docloom.operators.invoice import gstin_candidates, gstin_pair
 from docloom.operators.lineitems import best_sections, is_precise_item, line_items, precise_items, structured_items
 from docloom.operators.lines import index_lines, with_zones
+from docloom.plans import queries
 
 
 def optimized(df):
@@ -57,3 +58,11 @@ def test_the_items_of_sections_are_inferred_once(spark):
     out = best_sections(lines_of(spark, "Acme\nBank of nowhere\nblue bolt 1234 2 50.00 100.00\nred bolt 1234 2 60.00 120.00\nThanks"))
     assert optimized(out).count("FileScan") + optimized(out).count("Relation [doc_id") == 2
     assert sorted((r.item_no, r.amount) for r in out.collect()) == [(1, 100.0), (2, 120.0)]
+
+
+@pytest.mark.parametrize("name", ["line_item_round_trip"])
+def test_lines_of_invoices_are_not_dealt_again(spark, tiny, name):
+    plan = queries.queries()[name](spark, tiny)._jdf.queryExecution().sparkPlan().toString()
+    whole = queries.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
+    assert "Exchange" not in whole.split("Generate posexplode")[0]
