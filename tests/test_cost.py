@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docloom.functions import identifiers as I
 from docloom.operators.amounts import amount_candidates, summary
 from docloom.operators.invoice import gstin_candidates, gstin_pair
-from docloom.operators.lineitems import best_sections, is_precise_item, line_items, precise_items, structured_items
+from docloom.operators.lineitems import best_sections, is_precise_item, line_items, precise_items, section_score, section_totals, structured_items, sum_of_items
 from docloom.operators.lines import index_lines, with_zones
 from docloom.plans import queries
 
@@ -60,9 +60,16 @@ def test_the_items_of_sections_are_inferred_once(spark):
     assert sorted((r.item_no, r.amount) for r in out.collect()) == [(1, 100.0), (2, 120.0)]
 
 
-@pytest.mark.parametrize("name", ["line_item_round_trip"])
+@pytest.mark.parametrize("name", ["line_item_round_trip", "line_item_scores"])
 def test_lines_of_invoices_are_not_dealt_again(spark, tiny, name):
     plan = queries.queries()[name](spark, tiny)._jdf.queryExecution().sparkPlan().toString()
     whole = queries.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate posexplode") == 1
     assert "Exchange" not in whole.split("Generate posexplode")[0]
+
+
+def test_score_and_sum_of_items_come_from_one_reading(spark):
+    items = spark.createDataFrame([(1, 2.0, 3.0, "1234", 6.0), (1, None, None, None, 0.1), (1, None, None, None, -4.0), (2, None, 1.0, None, None)], "doc_id long, quantity double, unit_price double, hsn string, amount double")
+    got = section_totals(items)
+    want = section_score(items).join(sum_of_items(items), "doc_id", "left")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, 325, 6.1), (2, 110, None)]
