@@ -144,3 +144,36 @@ def test_packed_rows_are_few_and_give_the_same_buckets(monkeypatch):
     assert set(whole) == {k for k, own in want.items() if len(own) > 1}
     for k, found in whole.items():
         assert tree(found) == dict.fromkeys(want[k], min(want[k]))
+
+
+def test_a_pair_that_many_meetings_have_is_compared_once():
+    rows = [(key, i, i, 0, 0, 0, str(i)) for key in range(5) for i in (3, 5, 8)]
+    cuts, asked = [0, 3, 6, 9, 12, 15], []
+
+    def alike(left, right):
+        asked.extend(zip(left, right, strict=True))
+        return np.array([{a, b} == {"3", "8"} for a, b in zip(left, right, strict=True)], dtype=bool)
+
+    assert links._matched_all(rows, cuts, None, alike) == [(3, 8)]
+    assert sorted(map(sorted, asked)) == [["3", "5"], ["3", "8"], ["5", "8"]]
+
+
+def test_small_meetings_of_one_least_id_are_dealt_together(spark):
+    rows = [(key, i, i) for key in (1, 2, 3) for i in (7, 9, 11)] + [(4, i, i) for i in range(links.SMALL + 1)] + [(5, i, i) for i in range(links.SMALL + 1)]
+    deals = {}
+    for r in links._meetings_of(spark.createDataFrame(rows, "key long, id long, part long")).collect():
+        deals.setdefault(r.key, set()).add(r.deal)
+    assert deals[1] == deals[2] == deals[3] == {7} and len(deals[4] | deals[5]) == 2
+
+
+@pytest.mark.parametrize("most_slices", [15, 0])
+def test_rows_are_sifted_before_a_join_with_many_ids(spark, monkeypatch, most_slices):
+    monkeypatch.setattr(links, "FEW", 100)
+    monkeypatch.setattr(links, "MOST_SLICES", most_slices)
+    rows = spark.range(50_000).selectExpr("xxhash64(id) id", "id n")
+    ids = spark.range(0, 50_000, 25).selectExpr("xxhash64(id) id", "id m")
+    sifted = links.sifted(rows, ids, 2_000)
+    assert {r.n for r in sifted.collect()} >= set(range(0, 50_000, 25))
+    assert sifted.count() < (3_000 if most_slices else 30_000)
+    assert sorted((r.n, r.m) for r in links.bounded_join(rows, ids).collect()) == [(k, k) for k in range(0, 50_000, 25)]
+    assert links.bounded_join(rows, ids.select("id"), "left_semi").count() == 2_000
