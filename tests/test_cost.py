@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from docloom.functions import identifiers as I
 from docloom.operators.amounts import amount_candidates, summary
-from docloom.operators.invoice import gstin_candidates, gstin_pair
+from docloom.operators.invoice import extract_invoices, gstin_candidates, gstin_pair, read_invoices
 from docloom.operators.lineitems import best_sections, is_precise_item, line_items, precise_items, section_score, section_totals, structured_items, sum_of_items
+from docloom.functions.values import parse_amount
 from docloom.operators.lines import index_lines, with_zones
+from docloom.operators.templates import POSITIONS, extract_by_template
 from docloom.plans import queries
 
 
@@ -73,3 +75,34 @@ def test_score_and_sum_of_items_come_from_one_reading(spark):
     got = section_totals(items)
     want = section_score(items).join(sum_of_items(items), "doc_id", "left")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, 325, 6.1), (2, 110, None)]
+
+
+INVOICE = "ACME INDUSTRIES LIMITED\nInvoice No: INV0007\nDate: 05-Jan-2024\nBill To\nNEW WORLD LLP\nItem Description HSN Qty Rate Amount\nblue bolt 1234 2 50.00 100.00\nTaxable Value 100.00\nGrand Total 118.00"
+
+
+def test_an_invoice_round_trip_does_not_scan_for_fields_that_it_does_not_give(spark, tiny):
+    assert "pincode" not in optimized(queries.queries()["invoice_round_trip"](spark, tiny))
+
+
+def test_records_without_items_are_the_same_but_for_them(spark):
+    docs, as_of = spark.createDataFrame([(1, INVOICE), (2, "Total\n5")], "doc_id long, text string"), F.lit("2025-01-01").cast("date")
+    part = read_invoices(docs, with_zones(index_lines(docs)), as_of, scanned=False, itemised=False)
+    plan = optimized(part)
+    assert "pincode" not in plan and "line_items" not in plan
+    assert sorted(map(str, part.collect())) == sorted(map(str, extract_invoices(docs, as_of).select(part.columns).collect()))
+
+
+def test_lines_are_scoped_once_for_all_fields_of_a_template(spark):
+    place = lambda n, zone, word: (n, n - 1, zone, word)
+    matched = spark.createDataFrame([(0, "t", {"invoice_number": place(2, "TOP", "invoice no"), "total": place(9, "BOTTOM", "total")})], f"doc_id long, template_id string, field_positions {POSITIONS}")
+    out = extract_by_template(lines_of(spark, INVOICE), matched, F.lit("2025-01-01").cast("date"))
+    assert "_worded" not in optimized(out)
+    assert [(r.invoice_number, r.total, r.vendor_name) for r in out.collect()] == [("INV0007", 118.0, None)]
+
+
+def test_plain_rows_and_numbers_are_read_the_short_way_with_the_same_results(spark):
+    lines = index_lines(spark.createDataFrame([(1, "  Total 5\na  b\nLo   R\t\tx\n\tq\nz")], "doc_id long, text string"))
+    assert "ltrim" in lines._jdf.queryExecution().analyzed().toString()
+    assert [(r.text, r.x, r.w, r.col) for r in lines.orderBy("line_no").collect()] == [("Total 5", 16, 56, "FULL"), ("a b", 0, 32, "FULL"), ("Lo", 0, 24, "LEFT"), ("R x", 40, 32, "RIGHT"), ("q", 8, 24, "FULL"), ("z", 0, 24, "FULL")]
+    values = spark.createDataFrame([("12.50",), ("1,234",), ("12,50",), ("9999999999999",), ("1000000000",)], "t string").select(parse_amount(F.col("t")).cast("double").alias("v"))
+    assert [r.v for r in values.collect()] == [12.5, 1234.0, 12.5, None, None]
